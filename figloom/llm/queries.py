@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from figloom.llm import canonical, near_duplicates
+from figloom.llm import canonical, mixing, near_duplicates, packing, reading, subset
 from figloom.workspace import table
 
 QUERIES = {
     "p2_found": lambda spark, d: near_duplicates.similar_papers(table(spark, d, "papers")),
     "p2_classes": lambda spark, d: near_duplicates.paper_classes(table(spark, d, "papers")),
     "p3_found": lambda spark, d: canonical.paper_decisions(table(spark, d, "papers"), table(spark, d, "decision_ref")),
+    "p4_subset": lambda spark, d: subset.figure_subset(table(spark, d, "diagram_data"), table(spark, d, "papers"), table(spark, d, "subset_request")),
+    "p4_coverage": lambda spark, d: subset.subset_coverage(table(spark, d, "diagram_data"), table(spark, d, "papers"), table(spark, d, "subset_request")),
+    "p6_containers": lambda spark, d: packing.document_containers(table(spark, d, "documents"), table(spark, d, "pack_request")),
+    "p6_fill": lambda spark, d: packing.container_fill(table(spark, d, "documents"), table(spark, d, "pack_request")),
+    "p7_mix": lambda spark, d: mixing.document_mix(table(spark, d, "documents"), table(spark, d, "mix_target")),
+    "p7_shares": lambda spark, d: mixing.document_mix_shares(table(spark, d, "documents"), table(spark, d, "mix_target")),
+    "p8_found": lambda spark, d: reading.easy_documents(table(spark, d, "documents"), table(spark, d, "reading_labels")),
+    "p8_profile": lambda spark, d: reading.level_profile(table(spark, d, "documents"), table(spark, d, "reading_labels")),
     "p3_unmatched": lambda spark, d: canonical.unmatched_decisions(table(spark, d, "papers"), table(spark, d, "decision_ref")),
 }
 
