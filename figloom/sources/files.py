@@ -41,7 +41,7 @@ def extracted_figures(spark: SparkSession, pattern: str, kind: str = "Figure") -
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, length) of every file below a folder; contents are not read."""
+    """(path, length) of every file below a folder that is not empty; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
 

@@ -1,0 +1,118 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from figloom.functions import text as X
+from figloom.operators import search, sync
+
+
+def test_updates_follow_three_valued_logic(spark):
+    target = spark.createDataFrame([("a", "Accept"), ("b", "x"), ("c", None), ("d", "y"), ("e", "z")], "k string, v string")
+    staging = spark.createDataFrame([("a", "ACCEPT"), ("b", "new"), ("c", "new"), ("d", None), ("e", "pending"), ("f", "in"), (None, "n")], "k string, v string")
+    got = {r.k: r.v for r in sync.sync(target, staging, ["k"], "v", "pending").collect()}
+    assert got == {"a": "Accept", "b": "new", "c": None, "d": "y", "e": "z", "f": "in", None: "n"}
+    assert sync.changed_rows(target, staging, ["k"], "v", "pending").count() == 1
+    empty = target.limit(0)
+    assert sync.sync(empty, empty, ["k"], "v", "p").count() == 0
+
+
+def test_first_and_last_wins_with_ties(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 3, "z"), (None, 1, "n"), ("b", None, "q"), ("b", None, "r")] + [("hot", 5, "h")] * 50
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    assert {r.k: r.v for r in sync.first_rows(df, ["k"], [F.col("at")]).collect()} == {"a": "x", None: "n", "b": "q", "hot": "h"}
+    assert {r.k: r.v for r in sync.latest_rows(df, ["k"], [F.col("at")]).collect()} == {"a": "z", None: "n", "b": "r", "hot": "h"}
+    assert {r.k: r.copies for r in sync.duplicate_keys(df, ["k"]).collect()} == {"a": 3, "b": 2, "hot": 50}
+
+
+def test_upsert_and_keyed_update(spark):
+    target = spark.createDataFrame([("a", 1, "old", None), ("b", 1, "old", "t")], "k string, n int, v string, w string")
+    batch = spark.createDataFrame([("a", 1, "new", "u", 1), ("a", 1, "newer", "u", 2), ("c", 9, "c", None, 1)], "k string, n int, v string, w string, seq int")
+    got = {(r.k, r.n): r.v for r in sync.upsert(target.withColumn("seq", F.lit(0)), batch, ["k", "n"], [F.col("seq")]).collect()}
+    assert got == {("a", 1): "newer", ("b", 1): "old", ("c", 9): "c"}
+    updates = spark.createDataFrame([("a", "x"), ("b", None), ("z", "q")], "k string, w string")
+    assert {r.k: r.w for r in sync.keyed_update(target, updates, ["k"], ["w"]).collect()} == {"a": "x", "b": "t"}
+    assert sync.reset_column(target, "w").schema["w"].dataType == target.schema["w"].dataType
+
+
+def test_ordinals_and_chunks(spark):
+    df = spark.range(997).select(((F.col("id") * 7919) % 997).alias("x"), F.lit(1).alias("id"))
+    assert all(r.id == r.x for r in sync.dense_ordinals(df, [F.col("x")]).collect())
+    chunks = sync.chunked_lists(spark.range(5000).select(F.when(F.col("id") % 2 == 0, "k").alias("k"), "id"), ["k"], F.col("id"), 100).collect()
+    assert sum(len(r["items"]) for r in chunks) == 5000 and max(len(r["items"]) for r in chunks) < 300
+    assert sync.dense_ordinals(df.limit(0), [F.col("x")]).count() == 0
+
+
+def vectors(spark, n=300, d=8):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(n, d)).round(2)
+    data[10] = data[20]
+    return data, spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(data)], "vec_id long, v array<float>, distance int")
+
+
+def test_query_sets_in_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    data, df = vectors(spark)
+    data = data.astype(np.float32).astype(float)
+    got = {}
+    for r in search.nearest_for_each(df, "vec_id", "v", df.filter("vec_id % 6 = 0"), 7).collect():
+        got.setdefault(r.query, {})[r.place] = r.key
+    for q in range(0, 300, 6):
+        d = ((data - data[q]) ** 2).sum(1)
+        assert [got[q][i] for i in range(1, 8)] == sorted(range(300), key=lambda i: (round(d[i], 9), i))[:7]
+    nulls = spark.createDataFrame([(1, None), (None, [1.0] * 8)], "vec_id long, v array<float>")
+    assert search.nearest_for_each(df, "vec_id", "v", nulls.filter("vec_id = 1"), 3).count() == 0
+    assert search.nearest_for_each(nulls, "vec_id", "v", df.limit(2), 3).count() == 0
+
+
+def test_fetch_is_cut_before_the_filter(spark):
+    df = spark.createDataFrame([(i, float(i), float(-i), float(i)) for i in range(10)], "id long, d1 double, d2 double, d3 double")
+    allowed = df.filter("id < 3")
+    assert [r.id for r in search.filtered_nearest(df, "d2", "id", allowed, 8, 5).orderBy("d2").collect()] == [2]
+    assert search.hierarchical(df, "id", ("d1", "d2", "d3"), 2, 2, 2, 1, 1).count() == 0
+    assert search.hierarchical(df.limit(0), "id", ("d1", "d2", "d3")).count() == 0
+    assert [r.id for r in search.hierarchical(df, "id", ("d1", "d2", "d3"), 5, 3, 2).orderBy("d3").collect()] == [2, 3]
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 3.0], "y"), (3, [0.0, 0.0], "y"), (4, None, "x"), (5, [2.0, 0.1], None)], "id long, v array<float>, label string")
+    protos = search.prototypes(df.filter("label IS NOT NULL"), "label", "v")
+    got = {r.id: r["class"] for r in search.classify(df, "v", protos, "label").collect()}
+    assert got == {1: "x", 2: "y", 3: None, 4: None, 5: "x"}
+    with pytest.raises(ValueError):
+        search.classify(df, "v", protos, "label", most=1)
+    assert {r["class"] for r in search.classify(df, "v", protos.limit(0), "label").collect()} == {None}
+
+
+def one(spark, value, *columns):
+    return spark.createDataFrame([(value,)], "c string").select(*columns).first()
+
+
+@pytest.mark.parametrize(
+    "text,keys,caption",
+    [
+        ("See Figures (5b and c) for it", ["5"], False),
+        ("see Fig. 50 here", ["50"], False),
+        ("Figure 3 shows 5 models", ["3", "5"], False),
+        ("Figure1 is not found", [], False),
+        ("Figure1: a caption", [], True),
+        ("Fig. 4: a caption", ["4"], True),
+        ("Fig. 4 supports it", ["4"], False),
+        ("fig " + "x" * 48 + " 7", ["7"], False),
+        ("fig " + "x" * 49 + " 7", [], False),
+        ("Figure\nand 9", [], False),
+        ("nothing 12", [], False),
+    ],
+)
+def test_figure_mentions(spark, text, keys, caption):
+    r = one(spark, text, X.mentioned_figures(F.col("c")).alias("k"), X.is_caption(F.col("c")).alias("cap"))
+    assert (r.k, r.cap) == (keys, caption)
+
+
+def test_text_functions(spark):
+    r = one(spark, "a signifi-\ncant  re sult\n", X.unbroken(F.col("c")).alias("u"), X.figure_key(F.lit("A.15b")).alias("k"), X.slug(F.lit(" Accept (Poster)! ")).alias("s"), X.slug_or_pending(F.lit("--")).alias("p"))
+    assert (r.u, r.k, r.s, r.p) == ("a significant re sult", "15", "accept_poster", "pending_unknown")
+    sizes = spark.createDataFrame([(n,) for n in (0, 1023, 1536, 22548578304)], "n long").select(X.human_bytes(F.col("n")).alias("h")).collect()
+    assert [r.h for r in sizes] == ["0 B", "1023.0 B", "1.5 KB", "21.0 GB"]
+    r = one(spark, None, X.or_empty(F.col("c")).alias("e"), X.is_missing(F.col("c")).alias("m"), X.is_accepted(F.col("c")).alias("a"), X.tagged(F.array(F.lit("x"), F.lit("y"))).alias("t"), X.data_url(F.lit(b"ab")).alias("d"), X.is_accepted(F.lit("temporal")).alias("o"))
+    assert (r.e, r.m, r.a, r.o) == ("", True, False, True)
+    assert r.t == "<paragraph_1>x</paragraph_1>\n<paragraph_2>y</paragraph_2>" and r.d == "data:image/png;base64,YWI="
