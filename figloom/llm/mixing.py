@@ -20,7 +20,7 @@ from figloom.workspace import materialize
 
 #: More sources than this are refused: the patterns of the flow are sets of them.
 MAX_SOURCES = 256
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 5_000
 #: Slices of the seeded order in which tokens are counted before single texts are looked at.
 SLICES = 4096
 
@@ -91,11 +91,12 @@ def mix_sources(documents: DataFrame, key: Column, text: Column, source: Column,
                 plans.append(("\t".join(pattern), s, at, at + flow, tokens))
                 at += flow
     plan = spark.createDataFrame(plans, "pattern string, source string, start long, stop long, round long")
-    # Where each slice of the order begins: at most SLICES rows a pattern, summed before the shuffle.
+    # Where each slice of the order begins: at most SLICES rows a pattern, summed before the shuffle,
+    # and joined on the keys by which the texts lie for their sums within a slice.
     slices = texts.groupBy("pattern", "slice").agg(F.sum("tokens").alias("n"))
     begins = slices.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("slice")) - F.col("n")).select("pattern", "slice", "before")
     within = Window.partitionBy("pattern", "slice").orderBy("text_id")
-    placed = texts.withColumn("inside", F.sum("tokens").over(within) - F.col("tokens")).join(F.broadcast(begins), ["pattern", "slice"])
+    placed = texts.withColumn("inside", F.sum("tokens").over(within) - F.col("tokens")).join(begins.hint("merge"), ["pattern", "slice"])
     placed = placed.select("pattern", "key", "tokens", (F.col("before") + F.col("inside") + F.col("tokens") / 2).alias("middle"))
     # A text is used once for every round in which its middle lies in the stretch.
     passes = lambda x: F.ceil((F.col(x) - F.col("middle")) / F.col("round"))
