@@ -590,3 +590,33 @@ def file_selection(t):
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole.groupBy("s").agg(F.count("*").alias("files"))
+
+
+_VOTE = "(coalesce(lower(trim({c})), '') = 'diagram')::int"
+_VOTES_SQL = " + ".join(_VOTE.format(c=c) for c in ("clip_type", "label_haiku", "label_gpt_mini"))
+
+
+@query(
+    f"""with v as (select {_VOTES_SQL} as votes, coalesce(lower(trim(label_gpt_tiebreak)), '') as tie from diagram_data)
+    select votes, case when votes = 3 then 'unanimous' when votes = 2 then 'majority' when votes = 1 and tie = 'diagram' then 'minority_tiebreak' else 'unconfirmed' end as path, count(*) as records from v group by 1, 2"""
+)
+def label_cascade(t):
+    """Three judges vote; one vote alone needs the tie-breaking judge. The routing is ours."""
+    said = lambda c: (X.or_empty(F.lower(F.trim(c))) == "diagram").cast("int")
+    votes = said("clip_type") + said("label_haiku") + said("label_gpt_mini")
+    path = F.when(F.col("votes") == 3, "unanimous").when(F.col("votes") == 2, "majority").when((F.col("votes") == 1) & (F.col("tie") == 1), "minority_tiebreak").otherwise("unconfirmed")
+    v = t("diagram_data").select(votes.alias("votes"), said("label_gpt_tiebreak").alias("tie"))
+    return v.groupBy("votes", path.alias("path")).agg(F.count("*").alias("records"))
+
+
+@query("select upper(venue) as venue, round(corr(list_avg(scores), len(keywords)), 4) as keyword_corr, round(corr(list_avg(scores), year), 4) as year_corr, count(*) as papers from papers where len(scores) > 0 group by 1")
+def score_correlations(t):
+    mean = F.aggregate("scores", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("scores")
+    p = t("papers").filter(F.size("scores") > 0).select(F.upper("venue").alias("venue"), mean.alias("s"), F.length("keywords").cast("double").alias("k"), F.col("year").cast("double").alias("y"))
+    return p.groupBy("venue").agg(F.round(F.corr("s", "k"), 4).alias("keyword_corr"), F.round(F.corr("s", "y"), 4).alias("year_corr"), F.count("*").alias("papers"))
+
+
+@query("select areas, count(*) as records, count(distinct platform_id) as papers, round(count(*) / count(distinct platform_id)::double, 4) as figures_per_paper from diagram_data group by 1")
+def figure_density(t):
+    d = t("diagram_data").groupBy("areas").agg(F.count("*").alias("records"), F.countDistinct("platform_id").alias("papers"))
+    return d.withColumn("figures_per_paper", F.round(F.col("records") / F.col("papers"), 4))
