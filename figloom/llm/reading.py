@@ -205,12 +205,20 @@ def _weighted_median(x: np.ndarray, weight: np.ndarray) -> float:
 
 
 def rated_texts(documents: DataFrame, ratings: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample that the fit sees: text and the median of its valid ratings."""
+    """The bounded sample that the fit sees: text and the median of its valid ratings.
+
+    Rated documents are kept by a hash of their id, at the share that makes them about MAX_RATED;
+    so few ids are broadcast to the scan of the texts, and only their texts come to the driver.
+    """
     valid = ratings.filter(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
-    levels = valid.groupBy("doc_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY reading_level)").cast("int").alias("level"))
-    texts = documents.filter((F.length("text") <= MAX_RATED_CHARS) & F.col("text").rlike(r"\S")).select("doc_id", "text")
-    chosen = texts.join(levels, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text", "level")
-    return [(r.text, r.level) for r in chosen.orderBy("h", "doc_id", "text").limit(MAX_RATED).collect()]
+    rated = valid.select("doc_id").agg(F.approx_count_distinct("doc_id")).first()[0]
+    kept = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, MAX_RATED / max(1, rated))))
+    level = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY reading_level)").cast("int").alias("level")
+    levels = valid.filter(kept).groupBy("doc_id").agg(level)
+    texts = documents.filter((F.length("text") <= MAX_RATED_CHARS) & F.col("text").rlike(r"\S") & kept).select("doc_id", "text")
+    # A document id that is repeated without end must not flood the driver: each text counts once.
+    rows = texts.join(F.broadcast(levels), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("level").alias("level")).collect()
+    return sorted((r.text, r.level) for r in rows)
 
 
 def with_reading_level(df: DataFrame, text: Column, model: Model) -> DataFrame:
