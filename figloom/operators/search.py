@@ -9,14 +9,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figloom.functions.vectors import squared_distance
-
 #: Queries that are sent to the workers at once; a larger query set takes several passes.
 BLOCK = 2048
 
 
+#: Ids of a stage that come to the driver at most.
+MAX_STAGE = 100_000
+
+
+def distances(vector: Column, parts: dict[str, tuple[int, list[float]]]) -> Column:
+    """A struct with, for each name, the squared distance of a part of the vector, from a
+    0-based start on, to a query of its length; null where the vector is null or too short."""
+    wanted = {n: (start, np.array(q, dtype=np.float64)) for n, (start, q) in parts.items()}
+    least = max(start + len(q) for start, q in wanted.values())
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = batch.to_numpy(zero_copy_only=False)
+            usable = np.array([v is not None and len(v) >= least for v in rows], dtype=bool)
+            v = np.stack([r[:least] for r in rows[usable]]).astype(np.float64) if usable.any() else np.zeros((0, least))
+            out = []
+            for start, q in wanted.values():
+                d = np.zeros(len(rows))
+                d[usable] = ((v[:, start : start + len(q)] - q) ** 2).sum(1)
+                out.append(pa.array(d, mask=~usable))
+            yield pa.StructArray.from_arrays(out, list(wanted))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, ", ".join(f"{n} double" for n in wanted))(vector)
+
+
 def distance_to(vector: Column, query: list[float]) -> Column:
-    return squared_distance(vector, F.array(*[F.lit(float(x)) for x in query]))
+    return distances(vector, {"d": (0, query)}).getField("d")
 
 
 def nearest(df: DataFrame, distance: str, key: str, k: int) -> DataFrame:
@@ -34,13 +58,21 @@ def hierarchical(df: DataFrame, key: str, distances: tuple[str, str, str], t1: i
     """Search in three views, each among the results of the one before.
 
     Stage two looks at the ``fetch2`` nearest for each id of stage one, stage three at the
-    ``fetch3`` nearest for each id of stage two. An empty stage gives an empty result. Only the
-    sizes of the first two stages (at most t1 and t2) come to the driver.
+    ``fetch3`` nearest for each id of stage two. An empty stage gives an empty result. The
+    ids of the first two stages (at most t1 and t2) come to the driver, so each view is scanned once.
     """
     d1, d2, d3 = distances
-    s1 = nearest(df, d1, key, t1)
-    s2 = filtered_nearest(df, d2, key, s1, fetch2 * s1.count(), t2)
-    return filtered_nearest(df, d3, key, s2, fetch3 * s2.count(), k)
+    s1 = _ids(nearest(df, d1, key, t1), key)
+    s2 = _ids(nearest(nearest(df, d2, key, fetch2 * len(s1)).filter(F.col(key).isin(s1)), d2, key, t2), key)
+    return nearest(nearest(df, d3, key, fetch3 * len(s2)).filter(F.col(key).isin(s2)), d3, key, k)
+
+
+def _ids(stage: DataFrame, key: str) -> list:
+    """The ids of a stage: a result no larger than the t1 or t2 asked for."""
+    ids = [r[0] for r in stage.select(key).limit(MAX_STAGE + 1).collect()]
+    if len(ids) > MAX_STAGE:
+        raise ValueError(f"a stage of more than {MAX_STAGE} ids")
+    return ids
 
 
 def _block_top(ids: np.ndarray, queries: np.ndarray, k: int):

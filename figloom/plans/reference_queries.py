@@ -37,8 +37,8 @@ VIEWS = {"d1": (1, 16), "d2": (17, 16), "d3": (33, 32)}
 def _views(corpus: DataFrame) -> DataFrame:
     """Distances of every vector to vector 0 in the three views."""
     target = [float(x) for x in corpus.filter("vec_id = 0").select("embedding").first()[0]]
-    at = {n: search.distance_to(V.view(F.col("embedding"), a, k), target[a - 1 : a - 1 + k]) for n, (a, k) in VIEWS.items()}
-    return corpus.select("vec_id", *[d.alias(n) for n, d in at.items()])
+    parts = {n: (a - 1, target[a - 1 : a - 1 + k]) for n, (a, k) in VIEWS.items()}
+    return corpus.select("vec_id", search.distances(F.col("embedding"), parts).alias("d")).select("vec_id", "d.*")
 
 
 def _sql_distance(a: int, k: int) -> str:
@@ -190,7 +190,8 @@ def figures_upsert(t):
     """Late deliveries (the newer half by load time) replace what was there before."""
     figures = t("figures").select("platform_id", "figure_number", "figure_type", "loaded_at")
     cut = F.lit("2024-01-01").cast("timestamp_ntz")
-    done = sync.upsert(figures.filter(F.col("loaded_at") < cut), figures.filter(F.col("loaded_at") >= cut), ["platform_id", "figure_number"], [F.col("loaded_at")])
+    late = F.coalesce(F.col("loaded_at") >= cut, F.lit(False))
+    done = sync.upsert(figures.filter(~late), figures.filter(late), ["platform_id", "figure_number"], [F.col("loaded_at")])
     return done.select("platform_id", "figure_number", "loaded_at")
 
 

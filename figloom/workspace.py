@@ -32,10 +32,57 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     read from it is fixed: row numbers derived from it stay the same in every re-run task.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/figloom/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._figloom_path = path
+    return out
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/figloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_figloom_path", None):
+            _delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialized, once its results are written."""
+    _delete(spark, _tables(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of the session, once, so that their Python finds it.
+
+    Spark's file server copies the archive to every executor, late ones included.
+    """
+    import os
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="figloom-", suffix=".zip")
+    with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from figloom.operators.snapshots import CHUNK, assign_ordinals, bits_of, compress, paper_changes
@@ -76,3 +77,15 @@ def test_ordinals_persist(spark):
     b = {r.key: r.ordinal for r in second.collect()}
     assert all(b[k] == a[k] for k in a.keys() & b.keys())
     assert sorted(v for k, v in b.items() if k not in a) == list(range(1000, 1500))
+
+
+def test_tables_are_deleted_when_asked(spark):
+    from figloom import workspace
+
+    kept, gone = (workspace.materialize(spark.range(3), n) for n in ("kept", "gone"))
+    workspace.discard(gone, spark.range(1))
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._figloom_path).count()
+    workspace.ship(spark)
+    workspace.ship(spark)
