@@ -28,6 +28,8 @@ LEAST_SIMILARITY = 0.75
 UNMATCHED = -1
 #: Known words tried for an unknown one, and readings tried for a value.
 NEAREST, READINGS = 16, 400
+#: Values of more words are read in overlapping stretches of so many, with fewer readings each.
+STRETCH, STRETCH_READINGS = 24, 20
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсхуіјѕԁкмтвнαοερτυνι", "aeopcxyijsdkmtbhaoeptuvi")
@@ -127,6 +129,7 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.words = {w for p in self.patterns for w in p.split()}
+        self.longest = min(STRETCH, max((len(p.split()) for p in self.patterns), default=1))
         self.sets: dict[frozenset, int] = {}
         for p, i in self.patterns.items():
             self.sets.setdefault(frozenset(p.split()), i)
@@ -146,13 +149,20 @@ class Matcher:
         near = sorted((n, abs(len(w) - len(word)), w) for w in self.words if len(w) > 2 and (n := slips(word, w, most)) <= most)
         return [(0, word), *((n, w) for n, _, w in near[:NEAREST])]
 
-    def readings(self, text: str) -> list[tuple[list[str], list[int]]]:
-        """The words of a value with unknown ones replaced in every way, and the slips of each."""
-        near = [self.near(w) for w in text.split()]
-        while math.prod(map(len, near)) > READINGS:
+    def readings(self, words: list[str], most: int = READINGS) -> list[tuple[list[str], list[int]]]:
+        """Some words of a value with unknown ones replaced in every way, and the slips of each."""
+        near = [self.near(w) for w in words]
+        while math.prod(map(len, near)) > most:
             near[max(range(len(near)), key=lambda i: len(near[i]))].pop()
         return [([w for _, w in way], [n for n, _ in way]) for way in itertools.product(*near)]
 
+    def stretches(self, words: list[str]) -> list[tuple[tuple[str, ...], int]]:
+        """A value whole, or in stretches that overlap by the longest pattern; equal ones once."""
+        if len(words) <= STRETCH:
+            return [(tuple(words), READINGS)]
+        step = max(1, STRETCH - self.longest + 1)
+        return list(dict.fromkeys((tuple(words[i : i + STRETCH]), STRETCH_READINGS) for i in range(0, max(1, len(words) - self.longest + 1), step)))
+
     def mentions(self, text: str) -> list[tuple[int, int, int]]:
         """(first word, words, id) of embedded mentions, longest first, none overlapping."""
         if not len(self.automaton):
@@ -168,9 +178,10 @@ class Matcher:
         return out
 
     def _match(self, value: str) -> int:
-        text = plain(value)
+        spoken = plain(value).split()
+        read = [r for stretch, most in self.stretches(spoken) for r in self.readings(list(stretch), most)]
         best = None
-        for words, slipped in self.readings(text):
+        for words, slipped in read:
             for start, n, i in self.mentions(" ".join(words)):
                 inside = list(zip(words[start : start + n], slipped[start : start + n]))
                 # One word alone must be close: two slips need six letters, one slip three.
@@ -183,7 +194,7 @@ class Matcher:
         if best:
             return best[1]
         similar = (0.0, 0, -UNMATCHED)
-        for words, slipped in self.readings(text):
+        for words, slipped in read if len(spoken) <= STRETCH else [(spoken, [])]:
             words = frozenset(words)
             for s in {s for w in words for s in self.by_word.get(w, ())}:
                 common = len(s & words)
@@ -192,6 +203,12 @@ class Matcher:
         return -similar[2] if similar[0] >= LEAST_SIMILARITY else UNMATCHED
 
 
+@lru_cache(maxsize=4)
+def matcher_of(names: tuple[tuple[str, int], ...], aliases: tuple[tuple[str, str], ...]) -> Matcher:
+    """A worker keeps its matcher from task to task."""
+    return Matcher(dict(names), list(aliases))
+
+
 def match_values(df: DataFrame, value: Column, reference: DataFrame, name: str, ref_id: str, aliases: list[tuple[str, str]]) -> DataFrame:
     """``df`` plus ref_id int: the id of the entry that ``value`` means, -1 if none, null for a
     null or blank value. No shuffle: every row is mapped where it is, a worker keeps what it has
@@ -204,10 +221,11 @@ def match_values(df: DataFrame, value: Column, reference: DataFrame, name: str,
     rows = reference.filter(F.col(name).isNotNull() & F.col(ref_id).isNotNull()).groupBy(name).agg(F.min(ref_id).alias("i")).limit(MAX_REFERENCE + 1).collect()
     if len(rows) > MAX_REFERENCE:
         raise ValueError(f"the reference list has more than {MAX_REFERENCE} entries")
-    names = {r[0]: int(r[1]) for r in sorted(rows, key=lambda r: r[0])}
+    names = tuple((r[0], int(r[1])) for r in sorted(rows, key=lambda r: r[0]))
+    said = tuple(aliases)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(names, aliases)
+        matcher = matcher_of(names, said)
         for batch in batches:
             yield pa.array([None if v is None or not v.strip() else matcher.match(v) for v in batch.to_pylist()], pa.int32())
 

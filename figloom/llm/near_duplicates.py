@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figloom.workspace import materialize
+from figloom.workspace import discard, materialize
 
 #: With BANDS bands of ROWS bins a pair with a Jaccard similarity of 0.75 (bags that share seven
 #: eighths of their words) is in one bucket at least with probability 0.998, while two unrelated
@@ -152,7 +152,10 @@ def confirm(candidates: DataFrame, bags: DataFrame) -> DataFrame:
 
 def linked_bags(bags: DataFrame) -> DataFrame:
     """Confirmed star links between different bags, written to the shared folder."""
-    return materialize(confirm(materialize(star_candidates(bags), "star-candidates"), bags), "links")
+    candidates = materialize(star_candidates(bags), "star-candidates")
+    links = materialize(confirm(candidates, bags), "links")
+    discard(candidates)
+    return links
 
 
 def all_links(links: DataFrame, bags: DataFrame) -> DataFrame:
@@ -167,7 +170,8 @@ def all_links(links: DataFrame, bags: DataFrame) -> DataFrame:
         fresh = materialize(confirm(pairs, bags), "further-links")
         if fresh.isEmpty():
             return known
-        known = materialize(known.unionByName(fresh), "links")
+        before, known = known, materialize(known.unionByName(fresh), "links")
+        discard(before)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,6 +193,7 @@ def components(links: DataFrame) -> DataFrame:
         if small.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(small, ["a", "b"], "left_anti").isEmpty():
             nodes = small.select(F.col("b").alias("node"), F.col("a").alias("root"))
             return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
+        discard(edges, large)
         edges = small
 
 
@@ -196,7 +201,7 @@ def near_duplicate_classes(df: DataFrame, key: Column, text: Column) -> DataFram
     """(id, class_id, n_links): one row per record with words; class_id is the least id of its class.
 
     Copies (equal bags) are one class whatever their number; n_links counts the different bags
-    linked with this one. Null keys, null texts and texts without words give no row; equal keys
+    found to be linked with this one by their stars. Null keys, null texts and texts without words give no row; equal keys
     should be resolved before. An empty table gives an empty result.
     """
     sketched = materialize(sketch_records(df, key, text), "sketches")

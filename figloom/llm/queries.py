@@ -7,7 +7,7 @@ from figloom.workspace import table
 
 QUERIES = {
     "p2_found": lambda spark, d: near_duplicates.similar_papers(table(spark, d, "papers")),
-    "p2_classes": lambda spark, d: near_duplicates.paper_classes(table(spark, d, "papers")),
+    "p2_classes": lambda spark, d: near_duplicates.paper_classes(table(spark, d, "papers")).select("platform_id", "class_id"),
     "p3_found": lambda spark, d: canonical.paper_decisions(table(spark, d, "papers"), table(spark, d, "decision_ref")),
     "p4_subset": lambda spark, d: subset.figure_subset(table(spark, d, "diagram_data"), table(spark, d, "papers"), table(spark, d, "subset_request")),
     "p4_coverage": lambda spark, d: subset.subset_coverage(table(spark, d, "diagram_data"), table(spark, d, "papers"), table(spark, d, "subset_request")),
@@ -31,4 +31,8 @@ _PAIRS = r"""
 
 ORACLE = {
     "p2_found": f"with {_PAIRS} select x as platform_id_a, y as platform_id_b from pairs",
+    "p2_classes": f"""with recursive {_PAIRS},
+        both_ as (select x, y from pairs union all select y, x from pairs),
+        reach as (select id as x, id as y from sizes union select r.x, b.y from reach r join both_ b on r.y = b.x)
+        select x as platform_id, min(y) as class_id from reach group by 1""",
 }

@@ -42,6 +42,15 @@ def test_one_slip_anywhere_is_mended(name):
     assert not wrong
 
 
+def test_long_values_are_read_whole():
+    m = C.Matcher(IDS, C.decision_aliases())
+    filler = "as was said in room seven before lunch "
+    for k in (0, 1, 2, 3, 500):
+        for typed, right in (("rejected but please submit agian", 11), ("post-decision withdrawal", 14)):
+            assert m.match(filler * k + typed + " " + filler * k) == right
+    assert m.match(filler * 500) == -1
+
+
 def test_longest_mention_wins():
     m = C.Matcher({"New York": 1, "York": 2, "New": 3}, [("big apple", "New York")])
     assert [m.match(x) for x in ("in New York today", "york", "The Big-Apple!", "old york road", "")] == [1, 2, 1, 2, -1]
