@@ -45,6 +45,8 @@ Dialect = tuple[frozenset, bool]
 NONE: Dialect = (frozenset(), True)
 #: Bits for naming a dialect: one of the plain ones, or a set of separators.
 PLAIN_BITS, MIXED_BITS, UNQUOTED_BITS = 3.0, 6.0, 8.0
+#: A value is hot if it makes more than one in so many uses.
+HOT_VALUES = 1000
 LETTER_BITS, MARK_BITS, VALUE_BITS, OPEN_BITS = 4.5, 8.0, 3.0, 12.0
 
 
@@ -242,9 +244,12 @@ def split_packed(df: DataFrame, key: Column, field: Column) -> DataFrame:
     # The first use of a value spells it out, every further one names it by its share.
     named = -F.log2(F.col("n") / F.lit(float(total))) + F.col("spelled") / F.col("n")
     unsure = parsed.filter("NOT sole").select("id", "no", "bits", F.explode_outer("values").alias("x")).select("id", "no", "bits", F.col("x.k").alias("k"), F.col("x.bits").alias("spelled"))
+    # Values with more than a thousandth of all uses are fewer than a thousand: they are looked up
+    # where the parses lie, so that a value in a third of all fields sends no third to one task.
+    hot = F.broadcast(counted.filter(F.col("n") * HOT_VALUES > total))
+    known = unsure.join(hot, "k").unionByName(unsure.join(hot, "k", "left_anti").join(counted, "k", "left"))
     scored = (
-        unsure.join(counted, "k", "left")
-        .groupBy("id", "no")
+        known.groupBy("id", "no")
         .agg((F.first("bits") + F.coalesce(F.sum(F.least("spelled", F.coalesce(named, "spelled"))), F.lit(0.0))).alias("cost"))
         .groupBy("id")
         .agg(F.min(F.struct(F.round("cost", 6).alias("cost"), "no")).alias("best"))

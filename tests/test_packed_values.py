@@ -1,3 +1,6 @@
+import pytest
+
+from figloom.operators import packed_values
 from figloom.operators.packed_values import paper_keywords, parse, parses, split_packed, unwrap
 from pyspark.sql import functions as F
 
@@ -35,7 +38,9 @@ def test_round_trip_of_quoted_values():
     assert any(v == values for _, v in parses(packed))
 
 
-def test_corpus_decides_an_ambiguous_field(spark):
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_corpus_decides_an_ambiguous_field(spark, monkeypatch, hot):
+    monkeypatch.setattr(packed_values, "HOT_VALUES", hot)
     # Alone, the comma would split the field; the corpus knows the whole value well.
     field = "big, wide; trees"
     alone = spark.createDataFrame([("a", field)], "id string, field string")
