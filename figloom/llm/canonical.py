@@ -129,6 +129,9 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.words = {w for p in self.patterns for w in p.split()}
+        self.by_length: dict[int, list[str]] = {}
+        for w in self.words:
+            self.by_length.setdefault(len(w), []).append(w)
         self.longest = min(STRETCH, max((len(p.split()) for p in self.patterns), default=1))
         self.sets: dict[frozenset, int] = {}
         for p, i in self.patterns.items():
@@ -146,7 +149,8 @@ class Matcher:
         if word in self.words or not word.isalpha() or not 2 <= len(word) <= 40:
             return [(0, word)]
         most = 1 if len(word) < 4 else 2
-        near = sorted((n, abs(len(w) - len(word)), w) for w in self.words if len(w) > 2 and (n := slips(word, w, most)) <= most)
+        alike = [w for k in range(max(3, len(word) - most), len(word) + most + 1) for w in self.by_length.get(k, ())]
+        near = sorted((n, abs(len(w) - len(word)), w) for w in alike if (n := slips(word, w, most)) <= most)
         return [(0, word), *((n, w) for n, _, w in near[:NEAREST])]
 
     def readings(self, words: list[str], most: int = READINGS) -> list[tuple[list[str], list[int]]]:
@@ -240,6 +244,7 @@ def decision_aliases() -> list[tuple[str, str]]:
 def typed_decisions(papers: DataFrame, reference: DataFrame) -> DataFrame:
     """platform_id, decision, ref_id of every paper whose decision is typed, not a ref_name."""
     valid = papers.filter("platform_id IS NOT NULL").groupBy("platform_id").agg(F.max(F.struct("loaded_at", "decision")).alias("r")).select("platform_id", "r.decision")
+    # match_values refuses a long reference list before anything is broadcast.
     typed = valid.filter(F.col("decision").rlike(r"[^\s\p{Z}]")).join(F.broadcast(reference.select(F.col("ref_name").alias("decision"))), "decision", "left_anti")
     return match_values(typed, F.col("decision"), reference, "ref_name", "ref_id", decision_aliases())
 

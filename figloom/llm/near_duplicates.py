@@ -25,6 +25,8 @@ from figloom.workspace import discard, materialize
 #: eighths of their words) is in one bucket at least with probability 0.998, while two unrelated
 #: abstracts (about 0.1) meet in a band once in a hundred million.
 ROWS, BANDS = 8, 60
+#: A bucket is hot if it holds more than one in so many bags.
+HOT_BUCKETS = 1000
 #: Four fifths, as integers so that the comparison is exact.
 SHARE = (4, 5)
 WORD = re.compile(r"[^\W_]+")
@@ -136,7 +138,12 @@ def star_candidates(bags: DataFrame) -> DataFrame:
     """(a, b) with a < b: in each bucket of two or more, its least and greatest member with all."""
     placed = bags.select("bag_id", F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("bag_id").alias("lo"), F.max("bag_id").alias("hi"), F.count("*").alias("size")).filter("size > 1")
-    large = placed.join(buckets.filter("size > 2"), "band").select("bag_id", F.explode(F.array("lo", "hi")).alias("centre")).filter("bag_id <> centre")
+    # A bucket with more than a thousandth of all bags is hot; each band has fewer than a thousand.
+    many = bags.count()
+    hot = F.broadcast(buckets.filter(F.col("size") * HOT_BUCKETS > many).filter("size > 2"))
+    rest = buckets.filter((F.col("size") * HOT_BUCKETS <= many) & (F.col("size") > 2))
+    members = placed.join(hot, "band").unionByName(placed.join(rest, "band"))
+    large = members.select("bag_id", F.explode(F.array("lo", "hi")).alias("centre")).filter("bag_id <> centre")
     stars = large.select(F.least("bag_id", "centre").alias("a"), F.greatest("bag_id", "centre").alias("b"))
     return buckets.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(stars).distinct()
 

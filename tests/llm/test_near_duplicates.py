@@ -47,6 +47,12 @@ def test_pairs_against_brute_force(spark):
     assert len(got) > 100
 
 
+def test_small_buckets_are_joined_like_hot_ones(spark, monkeypatch):
+    rows = corpus(random.Random(8))
+    monkeypatch.setattr(N, "HOT_BUCKETS", 0)
+    assert {tuple(r) for r in N.similar_papers(papers(spark, rows)).collect()} == brute(rows)
+
+
 def test_classes_are_the_components_of_the_pairs(spark):
     rows = corpus(random.Random(6))
     root = {i: i for i, _, _ in rows}
