@@ -130,36 +130,42 @@ def sketch_records(df: DataFrame, key: Column, text: Column) -> DataFrame:
 
 
 def distinct_bags(sketched: DataFrame) -> DataFrame:
-    """One row per different bag: copies, however many, meet only here, before the shuffle."""
-    return sketched.groupBy("bag_id").agg(F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("bands").alias("bands"))
+    """One row per different bag, numbered and written; copies, however many, meet only here,
+    before the shuffle. The numbers hold as long as the table does."""
+    bags = sketched.groupBy("bag_id").agg(F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("bands").alias("bands"))
+    return materialize(bags.withColumn("bag_no", F.monotonically_increasing_id()), "bags")
 
 
 def star_candidates(bags: DataFrame) -> DataFrame:
     """(a, b) with a < b: in each bucket of two or more, its least and greatest member with all."""
-    placed = bags.select("bag_id", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("bag_id").alias("lo"), F.max("bag_id").alias("hi"), F.count("*").alias("size")).filter("size > 1")
+    placed = bags.select("bag_no", F.explode("bands").alias("band"))
+    buckets = placed.groupBy("band").agg(F.min("bag_no").alias("lo"), F.max("bag_no").alias("hi"), F.count("*").alias("size")).filter("size > 1")
+    buckets = materialize(buckets, "buckets")
     # A bucket with more than a thousandth of all bags is hot; each band has fewer than a thousand.
     many = bags.count()
     hot = F.broadcast(buckets.filter(F.col("size") * HOT_BUCKETS > many).filter("size > 2"))
     rest = buckets.filter((F.col("size") * HOT_BUCKETS <= many) & (F.col("size") > 2))
     members = placed.join(hot, "band").unionByName(placed.join(rest, "band"))
-    large = members.select("bag_id", F.explode(F.array("lo", "hi")).alias("centre")).filter("bag_id <> centre")
-    stars = large.select(F.least("bag_id", "centre").alias("a"), F.greatest("bag_id", "centre").alias("b"))
-    return buckets.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(stars).distinct()
+    large = members.select("bag_no", F.explode(F.array("lo", "hi")).alias("centre")).filter("bag_no <> centre")
+    stars = large.select(F.least("bag_no", "centre").alias("a"), F.greatest("bag_no", "centre").alias("b"))
+    pairs = buckets.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(stars).distinct()
+    candidates = materialize(pairs, "star-candidates")
+    discard(buckets)
+    return candidates
 
 
 def confirm(candidates: DataFrame, bags: DataFrame) -> DataFrame:
     """The candidates (a, b) whose bags share enough: exact, on whole bags."""
     num, den = SHARE
-    a = bags.select(F.col("bag_id").alias("a"), F.col("n").alias("n_a"), F.col("bag").alias("bag_a"))
-    b = bags.select(F.col("bag_id").alias("b"), F.col("n").alias("n_b"), F.col("bag").alias("bag_b"))
+    a = bags.select(F.col("bag_no").alias("a"), F.col("n").alias("n_a"), F.col("bag").alias("bag_a"))
+    b = bags.select(F.col("bag_no").alias("b"), F.col("n").alias("n_b"), F.col("bag").alias("bag_b"))
     near = candidates.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     return near.filter(F.size(F.array_intersect("bag_a", "bag_b")) * den >= F.greatest("n_a", "n_b") * num).select("a", "b")
 
 
 def linked_bags(bags: DataFrame) -> DataFrame:
-    """Confirmed star links between different bags, written to the shared folder."""
-    candidates = materialize(star_candidates(bags), "star-candidates")
+    """Confirmed star links between the numbers of different bags, written to the shared folder."""
+    candidates = star_candidates(bags)
     links = materialize(confirm(candidates, bags), "links")
     discard(candidates)
     return links
@@ -212,13 +218,16 @@ def near_duplicate_classes(df: DataFrame, key: Column, text: Column) -> DataFram
     should be resolved before. An empty table gives an empty result.
     """
     sketched = materialize(sketch_records(df, key, text), "sketches")
-    bags = materialize(distinct_bags(sketched), "bags")
+    bags = distinct_bags(sketched)
     links = linked_bags(bags)
-    roots = components(links).withColumnRenamed("node", "bag_id")
-    degree = links.select(F.explode(F.array("a", "b")).alias("bag_id")).groupBy("bag_id").agg(F.count("*").alias("n_links"))
-    placed = sketched.select("id", "bag_id").join(roots, "bag_id", "left").join(degree, "bag_id", "left").withColumn("root", F.coalesce("root", "bag_id"))
-    names = placed.groupBy("root").agg(F.min("id").alias("class_id"))
-    return placed.join(names, "root").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    roots = components(links).withColumnRenamed("node", "bag_no")
+    degree = links.select(F.explode(F.array("a", "b")).alias("bag_no")).groupBy("bag_no").agg(F.count("*").alias("n_links"))
+    known = bags.select("bag_id", "bag_no").join(roots, "bag_no", "left").join(degree, "bag_no", "left")
+    copies = sketched.groupBy("bag_id").agg(F.min("id").alias("least"))
+    named = known.join(copies, "bag_id").withColumn("root", F.coalesce("root", "bag_no"))
+    classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = named.join(classes, "root").select("bag_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return sketched.select("id", "bag_id").join(named, "bag_id").select("id", "class_id", "n_links")
 
 
 def near_duplicate_pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -228,12 +237,16 @@ def near_duplicate_pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
     that grows with the rows only. Null keys, null texts and texts without words match nothing.
     """
     sketched = materialize(sketch_records(df, key, text), "sketches")
-    bags = materialize(distinct_bags(sketched), "bags")
+    bags = distinct_bags(sketched)
     links = all_links(linked_bags(bags), bags)
-    ids = sketched.select("id", "bag_id")
-    left, right = ids.select(F.col("id").alias("x"), F.col("bag_id").alias("a")), ids.select(F.col("id").alias("y"), F.col("bag_id").alias("b"))
-    copied = sketched.groupBy("bag_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bag_id").alias("a"), F.col("bag_id").alias("b"))
-    pairs = links.unionByName(copied).join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    # Only bags that are linked or filed several times have pairs.
+    copied = sketched.groupBy("bag_id").agg(F.count("*").alias("copies")).filter("copies > 1")
+    linked = links.select(F.explode(F.array("a", "b")).alias("bag_no")).distinct()
+    numbers = bags.select("bag_id", "bag_no").join(linked.withColumn("linked", F.lit(True)), "bag_no", "left").join(copied, "bag_id", "left").filter("linked OR copies > 1")
+    ids = materialize(sketched.select("id", "bag_id").join(numbers.select("bag_id", "bag_no"), "bag_id").select("id", F.col("bag_no").alias("bag")), "paired-ids")
+    left, right = ids.select(F.col("id").alias("x"), F.col("bag").alias("a")), ids.select(F.col("id").alias("y"), F.col("bag").alias("b"))
+    same = ids.groupBy("bag").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bag").alias("a"), F.col("bag").alias("b"))
+    pairs = links.unionByName(same).join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
