@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries that are sent to the workers at once; a larger query set takes several passes.
 BLOCK = 2048
+#: Queries of a block whose candidates are ranked at once, and exact distances computed at once.
+GROUP, PAIRS = 128, 65_536
 
 
 #: Ids of a stage that come to the driver at most.
@@ -75,26 +77,49 @@ def _ids(stage: DataFrame, key: str) -> list:
     return ids
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances along the last axis, added up from the first value on as SQL does, so that
+    equal vectors have equal distances wherever they are computed."""
+    out = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for j in range(a.shape[-1]):
+        out += (a[..., j] - b[..., j]) ** 2
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, keys) of a few thousand rows at a time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            yield np.stack(batch["vector"].to_numpy(zero_copy_only=False)).astype(np.float64), batch["key"].to_numpy(zero_copy_only=False)
+
+
 def _block_top(ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (queries**2).sum(1)
-        best_d = np.full((len(ids), 0), 0.0)
-        best_i = np.full((len(ids), 0), 0, dtype=np.int64)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                v = np.stack(batch["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)
-                keys = batch["key"].to_numpy(zero_copy_only=False)
-                d = np.maximum(norms[:, None] - 2 * queries @ v.T + (v**2).sum(1)[None], 0)
-                # A few more than k by the fast formula, then exactly, then k with ties by key.
-                near = np.argpartition(d, min(k + 8, d.shape[1]) - 1, axis=1)[:, : k + 8]
-                exact = ((queries[:, None] - v[near]) ** 2).sum(2)
-                all_d, all_i = np.hstack([best_d, exact]), np.hstack([best_i, keys[near]])
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        if best_d.shape[1]:
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query", "key", "distance"])
+        #: By first query of a group: (query, key, distance), up to k a query in order of (distance, key).
+        best = {g: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)) for g in range(0, len(ids), GROUP)}
+        for v, keys in _slices(batches):
+            lengths = (v**2).sum(1)
+            for g, (at, key, dist) in best.items():
+                q = queries[g : g + GROUP]
+                both = norms[g : g + GROUP, None] + lengths
+                fast = both - 2 * q @ v.T
+                # Neither formula is off by more than half of this.
+                margin = 4 * (q.shape[1] + 8) * np.finfo(np.float64).eps * both
+                # All rows that may be among the k nearest, however many are equally far.
+                limit = np.partition(fast + margin, k - 1, axis=1)[:, k - 1] if k <= len(v) else np.full(len(q), np.inf)
+                full = np.flatnonzero(np.bincount(at, minlength=len(q)) == k)
+                limit[full] = np.fmin(limit[full], dist[np.searchsorted(at, full, "right") - 1])
+                asked, row = np.nonzero(~(fast - margin > limit[:, None]))
+                exact = np.concatenate([_exact(q[asked[i : i + PAIRS]], v[row[i : i + PAIRS]]) for i in range(0, max(1, len(row)), PAIRS)])
+                at, key, dist = np.r_[at, asked], np.r_[key, keys[row]], np.r_[dist, exact]
+                order = np.lexsort((key, dist, at))
+                at = at[order]
+                kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+                best[g] = at[kept], key[order][kept], dist[order][kept]
+        for g, (at, key, dist) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[g + at]), pa.array(key), pa.array(dist)], ["query", "key", "distance"])
 
     return run
 

@@ -64,6 +64,20 @@ def test_query_sets_in_blocks_against_brute_force(spark, monkeypatch):
     assert search.nearest_for_each(nulls, "vec_id", "v", df.limit(2), 3).count() == 0
 
 
+def test_many_equally_near_vectors_go_by_key(spark):
+    """A third of the rows are copies, far more than k in every batch."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(5000, 8)).round(2)
+    data[rng.permutation(5000)[:1700]] = data[0]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, v array<double>").orderBy(F.rand(1)).coalesce(2)
+    got = {}
+    for r in search.nearest_for_each(df, "vec_id", "v", df.filter("vec_id % 1000 = 0"), 10).collect():
+        got.setdefault(r.query, {})[r.place] = r.key
+    for q in range(0, 5000, 1000):
+        d = np.cumsum((data - data[q]) ** 2, axis=1)[:, -1]
+        assert [got[q][i] for i in range(1, 11)] == sorted(range(5000), key=lambda i: (d[i], i))[:10]
+
+
 def test_fetch_is_cut_before_the_filter(spark):
     df = spark.createDataFrame([(i, float(i), float(-i), float(i)) for i in range(10)], "id long, d1 double, d2 double, d3 double")
     allowed = df.filter("id < 3")
