@@ -94,15 +94,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield np.stack(batch["vector"].to_numpy(zero_copy_only=False)).astype(np.float64), batch["key"].to_numpy(zero_copy_only=False)
 
 
-def _block_top(ids: np.ndarray, queries: np.ndarray, k: int):
+def _block_top(ids: np.ndarray, queries: np.ndarray, k: int, view: slice = slice(None), others: dict[str, slice] = {}):
+    """The k nearest rows of a partition by a part of the vectors, with their distances by other parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (queries**2).sum(1)
-        #: By first query of a group: (query, key, distance), up to k a query in order of (distance, key).
-        best = {g: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)) for g in range(0, len(ids), GROUP)}
-        for v, keys in _slices(batches):
+        norms = (queries[:, view] ** 2).sum(1)
+        #: By first query of a group: (query, key, distances), up to k a query in order of (distance, key).
+        best = {g: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((1 + len(others), 0))) for g in range(0, len(ids), GROUP)}
+        for whole, keys in _slices(batches):
+            v = whole[:, view]
             lengths = (v**2).sum(1)
             for g, (at, key, dist) in best.items():
-                q = queries[g : g + GROUP]
+                q = queries[g : g + GROUP, view]
                 both = norms[g : g + GROUP, None] + lengths
                 fast = both - 2 * q @ v.T
                 # Neither formula is off by more than half of this.
@@ -110,44 +113,138 @@ def _block_top(ids: np.ndarray, queries: np.ndarray, k: int):
                 # All rows that may be among the k nearest, however many are equally far.
                 limit = np.partition(fast + margin, k - 1, axis=1)[:, k - 1] if k <= len(v) else np.full(len(q), np.inf)
                 full = np.flatnonzero(np.bincount(at, minlength=len(q)) == k)
-                limit[full] = np.fmin(limit[full], dist[np.searchsorted(at, full, "right") - 1])
+                limit[full] = np.fmin(limit[full], dist[0, np.searchsorted(at, full, "right") - 1])
                 asked, row = np.nonzero(~(fast - margin > limit[:, None]))
                 exact = np.concatenate([_exact(q[asked[i : i + PAIRS]], v[row[i : i + PAIRS]]) for i in range(0, max(1, len(row)), PAIRS)])
-                at, key, dist = np.r_[at, asked], np.r_[key, keys[row]], np.r_[dist, exact]
-                order = np.lexsort((key, dist, at))
-                at = at[order]
-                kept = np.arange(len(at)) - np.searchsorted(at, at) < k
-                best[g] = at[kept], key[order][kept], dist[order][kept]
+                nearest = np.r_[dist[0], exact]
+                order = np.lexsort((np.r_[key, keys[row]], nearest, np.r_[at, asked]))
+                sorted_at = np.r_[at, asked][order]
+                order = order[np.arange(len(order)) - np.searchsorted(sorted_at, sorted_at) < k]
+                new = order[order >= len(at)] - len(at)
+                more = np.zeros((len(others), len(nearest)))
+                more[:, : len(at)] = dist[1:]
+                for n, part in enumerate(others.values()):
+                    more[n, len(at) + new] = _exact(queries[g + asked[new], part], whole[row[new], part])
+                best[g] = np.r_[at, asked][order], np.r_[key, keys[row]][order], np.vstack([nearest, more])[:, order]
         for g, (at, key, dist) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[g + at]), pa.array(key), pa.array(dist)], ["query", "key", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[g + at]), pa.array(key), *map(pa.array, dist)], ["query", "key", "distance", *others])
+
+    return run
+
+
+def _block_ranks(ids: np.ndarray, queries: np.ndarray, members: dict[int, list], views: dict[str, slice]):
+    """For each query's members (key, distance in each view): the rows of a partition that come
+    before them in each view, by (distance, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [i for i, q in enumerate(ids) if q in members]
+        keys = {i: np.array([m[0] for m in members[ids[i]]], dtype=np.int64) for i in asked}
+        dist = {i: np.array([m[1:] for m in members[ids[i]]], dtype=np.float64).reshape(len(keys[i]), len(views)) for i in asked}
+        order = {i: [np.lexsort((keys[i], dist[i][:, n])) for n in range(len(views))] for i in asked}
+        before = {i: np.zeros((len(keys[i]), len(views)), dtype=np.int64) for i in asked}
+        for v, row_keys in _slices(batches):
+            sorted_keys, place = np.unique(row_keys, return_inverse=True)
+            row = np.empty(len(v), dtype=np.complex128)
+            for i in asked:
+                # A member lies between the keys of the rows, so none is equal to it.
+                at = np.searchsorted(sorted_keys, keys[i]) - 0.5
+                for n, part in enumerate(views.values()):
+                    row.real, row.imag = _exact(queries[i, part][None], v[:, part]), place
+                    member = np.empty(len(at), dtype=np.complex128)
+                    member.real, member.imag = dist[i][:, n], at
+                    o = order[i][n]
+                    less = np.bincount(np.searchsorted(member[o], row), minlength=len(o) + 1)
+                    before[i][o, n] += np.cumsum(less)[:-1]
+        for i in asked:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i], len(keys[i]))), pa.array(keys[i]), *map(pa.array, before[i].T)], ["query", "key", *(f"before_{n}" for n in views)])
 
     return run
 
 
-def nearest_for_each(corpus: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query, key, distance, place): the k nearest rows of the corpus for every query row.
+def _vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Rows with a key and a vector, as long and doubles."""
+    return df.select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("vector")).filter(F.col(name).isNotNull() & F.col("vector").isNotNull())
+
+
+def _blocks(queries: DataFrame, key: str, vector: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of so many query rows at a time."""
+    from figloom.operators.sync import dense_ordinals
+
+    asked = dense_ordinals(_vectors(queries, key, vector, "query"), [F.col("query")], "n")
+    for start in range(0, asked.count(), size):
+        block = asked.filter((F.col("n") >= start) & (F.col("n") < start + size)).collect()
+        yield np.array([r["query"] for r in block]), np.array([r["vector"] for r in block])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    found = frames[0]
+    for f in frames[1:]:
+        found = found.unionByName(f)
+    return found
+
+
+def _first(df: DataFrame, distance: str, k: int, place: str = "place") -> DataFrame:
+    """The k first rows of each query by (distance, key), numbered."""
+    from pyspark.sql.window import Window
+
+    n = F.row_number().over(Window.partitionBy("query").orderBy(distance, "key"))
+    return df.withColumn(place, n).filter(F.col(place) <= k)
+
+
+def nearest_for_each(corpus: DataFrame, key: str, vector: str, queries: DataFrame, k: int, view: slice = slice(None)) -> DataFrame:
+    """(query, key, distance, place): the k nearest rows of the corpus for every query row, by the
+    whole vector or a part of it.
 
     Queries go to the workers in blocks of BLOCK; a partition keeps k rows a query by matrix
     products, so k rows a query and partition are shuffled. Rows without a vector are left out.
     """
-    from pyspark.sql.window import Window
+    rows = _vectors(corpus, key, vector, "key")
+    blocks = [rows.mapInArrow(_block_top(ids, matrix, k, view), "query long, key long, distance double") for ids, matrix in _blocks(queries, key, vector, BLOCK)]
+    if not blocks:
+        return corpus.sparkSession.createDataFrame([], "query long, key long, distance double, place int")
+    return _first(_union(blocks), "distance", k)
 
-    from figloom.operators.sync import dense_ordinals
 
-    rows = corpus.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).filter("vector IS NOT NULL AND key IS NOT NULL")
-    asked = dense_ordinals(queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector")).filter("vector IS NOT NULL"), [F.col("query")], "n")
-    blocks, total = [], asked.count()
-    for start in range(0, total, BLOCK):
-        block = asked.filter((F.col("n") >= start) & (F.col("n") < start + BLOCK)).collect()
-        ids, matrix = np.array([r["query"] for r in block]), np.array([r["vector"] for r in block])
-        blocks.append(rows.mapInArrow(_block_top(ids, matrix, k), "query long, key long, distance double"))
-    if not blocks:
+def filtered_nearest_for_each(corpus: DataFrame, key: str, vector: str, queries: DataFrame, view: slice, allowed: DataFrame, fetch: int, k: int) -> DataFrame:
+    """(query, key, distance, place): ``filtered_nearest`` for every query row."""
+    found = nearest_for_each(corpus, key, vector, queries, fetch, view).drop("place")
+    return _first(found.join(allowed.select(F.col(key).cast("long").alias("key")).distinct(), "key", "left_semi"), "distance", k).select("query", "key", "distance", "place")
+
+
+def hierarchical_for_each(corpus: DataFrame, key: str, vector: str, queries: DataFrame, views: tuple[slice, slice, slice], t1: int = 100, t2: int = 10, k: int = 3, fetch2: int = 100, fetch3: int = 1000) -> DataFrame:
+    """(query, key, distance, place): ``hierarchical`` for every query row; ``key`` is unique.
+
+    The t1 of stage one are a written (query, key) table with their distances in the later views.
+    Whether one is among the nearest fetched by a later view is whether fewer rows come before it
+    there, so a second scan counts those instead of fetching that many: t1 rows a query and
+    partition are shuffled in each scan. Queries go to the workers in blocks, of which the ids of
+    stage one, at most MAX_STAGE, come to the driver (t1 of them if that is more).
+    """
+    from figloom.workspace import materialize
+
+    rows, later, out = _vectors(corpus, key, vector, "key"), {"d2": views[1], "d3": views[2]}, []
+    for ids, matrix in _blocks(queries, key, vector, max(1, min(BLOCK, MAX_STAGE // max(1, t1)))):
+        top = rows.mapInArrow(_block_top(ids, matrix, t1, views[0], later), "query long, key long, distance double, d2 double, d3 double")
+        s1 = materialize(_first(top, "distance", t1), "stage-one")
+        members: dict[int, list] = {}
+        for r in s1.select("query", "key", "d2", "d3").collect():
+            members.setdefault(r["query"], []).append((r["key"], r["d2"], r["d3"]))
+        ranks = rows.mapInArrow(_block_ranks(ids, matrix, members, later), "query long, key long, before_d2 long, before_d3 long")
+        ranks = ranks.groupBy("query", "key").agg(F.sum("before_d2").alias("before_d2"), F.sum("before_d3").alias("before_d3"))
+        s1 = s1.select("query", "key", "d2", "d3").join(ranks, ["query", "key"])
+        s2 = _first(_within(s1, "before_d2", fetch2), "d2", t2)
+        out.append(_first(_within(s2, "before_d3", fetch3), "d3", k).select("query", "key", F.col("d3").alias("distance"), "place"))
+    if not out:
         return corpus.sparkSession.createDataFrame([], "query long, key long, distance double, place int")
-    found = blocks[0]
-    for b in blocks[1:]:
-        found = found.unionByName(b)
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+    return _union(out)
+
+
+def _within(stage: DataFrame, before: str, fetch: int) -> DataFrame:
+    """The rows of a stage among the nearest fetched, ``fetch`` for each id of the query's stage."""
+    from pyspark.sql.window import Window
+
+    size = F.count("*").over(Window.partitionBy("query"))
+    return stage.withColumn("size", size).filter(F.col(before) < fetch * F.col("size")).drop("size", "place")
 
 
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:

@@ -97,6 +97,61 @@ def nearest_for_each(t):
     return found.withColumn("distance", F.round("distance", 4))
 
 
+# The other searches for the same queries: every id divisible by 100.
+
+_EACH_SQL = "views as (select q.vec_id as query, e.vec_id as key, " + ", ".join(f"{_sql_distance(a, k)} as {n}" for n, (a, k) in VIEWS.items()) + " from embeddings e cross join (select vec_id, embedding from embeddings where vec_id % 100 = 0) q)"
+_SLICES = {n: slice(a - 1, a - 1 + k) for n, (a, k) in VIEWS.items()}
+
+
+def _place_sql(d: str) -> str:
+    return f"row_number() over (partition by query order by {d}, key)"
+
+
+def _hierarchical_each_sql(t1: int, t2: int, k: int, f2: int, f3: int) -> str:
+    return f"""with {_EACH_SQL},
+        s1 as (select query, key from views qualify {_place_sql("d1")} <= {t1}),
+        n1 as (select query, count(*) as n from s1 group by 1),
+        f2 as (select *, {_place_sql("d2")} as rn from views),
+        s2 as (select f2.query, f2.key from f2 join n1 using (query) semi join s1 on f2.query = s1.query and f2.key = s1.key where rn <= {f2} * n qualify row_number() over (partition by f2.query order by d2, f2.key) <= {t2}),
+        n2 as (select query, count(*) as n from s2 group by 1),
+        f3 as (select *, {_place_sql("d3")} as rn from views)
+        select f3.query, f3.key, round(d3, 4) as distance, row_number() over (partition by f3.query order by d3, f3.key)::int as place
+        from f3 join n2 using (query) semi join s2 on f3.query = s2.query and f3.key = s2.key where rn <= {f3} * n qualify place <= {k}"""
+
+
+def _each(t) -> tuple:
+    corpus = t("embeddings")
+    return corpus, "vec_id", "embedding", corpus.filter("vec_id % 100 = 0")
+
+
+@query(_hierarchical_each_sql(100, 10, 3, 100, 1000))
+def hierarchical_retrieval_for_each(t):
+    found = search.hierarchical_for_each(*_each(t), tuple(_SLICES.values()))
+    return found.withColumn("distance", F.round("distance", 4))
+
+
+@query(_hierarchical_each_sql(100, 10, 5, 1, 12))
+def hierarchical_retrieval_truncated_for_each(t):
+    found = search.hierarchical_for_each(*_each(t), tuple(_SLICES.values()), 100, 10, 5, 1, 12)
+    return found.withColumn("distance", F.round("distance", 4))
+
+
+@query(f"with {_EACH_SQL}, f as (select * from views qualify {_place_sql('d2')} <= 200) select query, key, round(d2, 4) as distance, {_place_sql('d2')}::int as place from f where key in (select vec_id from embeddings where label = 3) qualify place <= 10")
+def filtered_knn_for_each(t):
+    found = search.filtered_nearest_for_each(*_each(t), _SLICES["d2"], t("embeddings").filter("label = 3"), 200, 10)
+    return found.withColumn("distance", F.round("distance", 4))
+
+
+@query(f"with {_EACH_SQL} select query, key, round(d1, 4) as distance, {_place_sql('d1')}::int as place from views qualify place <= 10")
+def knn_topk_for_each(t):
+    return search.nearest_for_each(*_each(t), 10, _SLICES["d1"]).withColumn("distance", F.round("distance", 4))
+
+
+@query(f"with {_EACH_SQL} select query, {_place_sql('d1')} as place, key from views qualify place <= 20")
+def ranked_results_for_each(t):
+    return search.nearest_for_each(*_each(t), 20, _SLICES["d1"]).select("query", F.col("place").cast("long").alias("place"), "key")
+
+
 _PROTOTYPES_SQL = """
     norms as (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))) as n from embeddings),
     long as (select vec_id, label, unnest(range(1, 65)) as pos, unnest(embedding)::double / n as x from norms where n > 0),

@@ -87,6 +87,30 @@ def test_fetch_is_cut_before_the_filter(spark):
     assert [r.id for r in search.hierarchical(df, "id", ("d1", "d2", "d3"), 5, 3, 2).orderBy("d3").collect()] == [2, 3]
 
 
+def brute_stages(data, q, views, t1, t2, k, fetch2, fetch3):
+    d = [np.cumsum((data[:, v] - data[q, v]) ** 2, axis=1)[:, -1] for v in views]
+    near = [sorted(range(len(data)), key=lambda i: (x[i], i)) for x in d]
+    s1 = near[0][:t1]
+    s2 = [i for i in near[1][: fetch2 * len(s1)] if i in s1][:t2]
+    return [i for i in near[2][: fetch3 * len(s2)] if i in s2][:k]
+
+
+@pytest.mark.parametrize("sizes", [(20, 8, 3, 100, 100), (20, 8, 3, 3, 4), (20, 8, 5, 1, 1), (400, 400, 400, 1, 1)])
+def test_stages_for_a_query_set_against_brute_force(spark, monkeypatch, sizes):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    data = rng.integers(0, 3, size=(300, 6)).astype(float)  # many equally far
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, v array<float>").repartition(3)
+    views = (slice(0, 2), slice(2, 4), slice(3, 6))
+    got = {}
+    for r in search.hierarchical_for_each(df, "vec_id", "v", df.filter("vec_id % 7 = 0"), views, *sizes).collect():
+        got.setdefault(r.query, {})[r.place] = r.key
+    want = {q: found for q in range(0, 300, 7) if (found := brute_stages(data, q, views, *sizes))}
+    assert {q: [places[i] for i in sorted(places)] for q, places in got.items()} == want
+    assert search.hierarchical_for_each(df, "vec_id", "v", df.limit(0), views).count() == 0
+    assert search.hierarchical_for_each(df.limit(0), "vec_id", "v", df.limit(2), views).count() == 0
+
+
 def test_classes(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 3.0], "y"), (3, [0.0, 0.0], "y"), (4, None, "x"), (5, [2.0, 0.1], None)], "id long, v array<float>, label string")
     protos = search.prototypes(df.filter("label IS NOT NULL"), "label", "v")
