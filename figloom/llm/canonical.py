@@ -1,22 +1,20 @@
 """Mapping freely typed values to the entries of a reference list.
 
-Method: a value is brought to plain words; a multi-pattern automaton over canonical names and
-aliases finds embedded mentions, and the longest one that overlaps no longer one wins. Words
-that are no known word are first replaced by a known one that is a slip away. What has no
-mention goes to token-set similarity; what is like no entry is reported with id -1.
+Method: a value is brought to plain words; a word that is no known word may be read as known ones
+a slip or two away. A trie of canonical names and aliases is walked from every word through all
+readings at once, and the longest mention with the least mended wins. What has no mention goes to
+token-set similarity, the best over all readings; what is like no entry is reported with id -1.
 """
 
 from __future__ import annotations
 
 import html
-import itertools
-import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +24,9 @@ MAX_REFERENCE = 50_000
 #: Share of words in common from which a value without a mention is taken for an entry.
 LEAST_SIMILARITY = 0.75
 UNMATCHED = -1
-#: Known words tried for an unknown one, and readings tried for a value.
-NEAREST, READINGS = 16, 400
-#: Values of more words are read in overlapping stretches of so many, with fewer readings each.
-STRETCH, STRETCH_READINGS = 24, 20
+#: What a slip costs in similarity, and the most slips that leave enough of it.
+SLIP_COST = 0.05
+MOST_SLIPS = int((1 - LEAST_SIMILARITY) / SLIP_COST + 1e-9)
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсхуіјѕԁкмтвнαοερτυνι", "aeopcxyijsdkmtbhaoeptuvi")
@@ -123,16 +120,17 @@ class Matcher:
             if name in names:
                 self.patterns.setdefault(plain(alias), names[name])
         self.patterns |= {plain(n): i for n, i in names.items() if plain(n)}
-        self.automaton = ahocorasick.Automaton()
+        # A node holds its followers by word; under None the pattern that ends there: (letters, id).
+        self.trie: dict = {}
         for p, i in self.patterns.items():
-            self.automaton.add_word(f" {p} ", (len(p.split()), len(p), i))
-        if len(self.automaton):
-            self.automaton.make_automaton()
+            node = self.trie
+            for w in p.split():
+                node = node.setdefault(w, {})
+            node[None] = len(p), i
         self.words = {w for p in self.patterns for w in p.split()}
         self.by_length: dict[int, list[str]] = {}
         for w in self.words:
             self.by_length.setdefault(len(w), []).append(w)
-        self.longest = min(STRETCH, max((len(p.split()) for p in self.patterns), default=1))
         self.sets: dict[frozenset, int] = {}
         for p, i in self.patterns.items():
             self.sets.setdefault(frozenset(p.split()), i)
@@ -151,61 +149,110 @@ class Matcher:
         most = 1 if len(word) < 4 else 2
         alike = [w for k in range(max(3, len(word) - most), len(word) + most + 1) for w in self.by_length.get(k, ())]
         near = sorted((n, abs(len(w) - len(word)), w) for w in alike if (n := slips(word, w, most)) <= most)
-        return [(0, word), *((n, w) for n, _, w in near[:NEAREST])]
-
-    def readings(self, words: list[str], most: int = READINGS) -> list[tuple[list[str], list[int]]]:
-        """Some words of a value with unknown ones replaced in every way, and the slips of each."""
-        near = [self.near(w) for w in words]
-        while math.prod(map(len, near)) > most:
-            near[max(range(len(near)), key=lambda i: len(near[i]))].pop()
-        return [([w for _, w in way], [n for n, _ in way]) for way in itertools.product(*near)]
-
-    def stretches(self, words: list[str]) -> list[tuple[tuple[str, ...], int]]:
-        """A value whole, or in stretches that overlap by the longest pattern; equal ones once."""
-        if len(words) <= STRETCH:
-            return [(tuple(words), READINGS)]
-        step = max(1, STRETCH - self.longest + 1)
-        return list(dict.fromkeys((tuple(words[i : i + STRETCH]), STRETCH_READINGS) for i in range(0, max(1, len(words) - self.longest + 1), step)))
-
-    def mentions(self, text: str) -> list[tuple[int, int, int]]:
-        """(first word, words, id) of embedded mentions, longest first, none overlapping."""
-        if not len(self.automaton):
-            return []
-        padded = f" {text} "
-        spaces = {at: k for k, at in enumerate(i for i, c in enumerate(padded) if c == " ")}
-        found = [(n, letters, spaces[end] - n, i) for end, (n, letters, i) in self.automaton.iter(padded)]
-        taken, out = set(), []
-        for n, _, start, i in sorted(found, key=lambda m: (-m[0], -m[1], m[2])):
-            if not taken & (span := set(range(start, start + n))):
-                taken |= span
-                out.append((start, n, i))
-        return out
+        return [(0, word), *((n, w) for n, _, w in near)]
 
-    def _match(self, value: str) -> int:
-        spoken = plain(value).split()
-        read = [r for stretch, most in self.stretches(spoken) for r in self.readings(list(stretch), most)]
+    def _mention(self, near: list[list[tuple[int, str]]]) -> int | None:
+        """The id of the best mention in any reading, None if there is none.
+
+        The rank of a mention depends on its own words only, and the reading that mends no others
+        is its best; a longer mention that overlaps it there has no lower rank. So the best one is
+        found by walking the trie from every word; a node is met once, as its words are given.
+        """
         best = None
-        for words, slipped in read:
-            for start, n, i in self.mentions(" ".join(words)):
-                inside = list(zip(words[start : start + n], slipped[start : start + n]))
-                # One word alone must be close: two slips need six letters, one slip three.
-                if n == 1 and (inside[0][1] > 1 and len(inside[0][0]) < 6):
-                    continue
-                # Words found count most, less what had to be mended.
-                rank = (n - 0.4 * sum(k for _, k in inside), sum(len(w) for w, _ in inside), -sum(slipped))
-                if best is None or rank > best[0]:
-                    best = rank, i
-        if best:
-            return best[1]
+        for start in range(len(near)):
+            # (node, slips, letters, which words are mended and how)
+            live = [(self.trie, 0, 0, ())]
+            n = 0
+            while live and start + n < len(near):
+                further = []
+                for node, slipped, letters, mended in live:
+                    for at, (k, w) in enumerate(near[start + n]):
+                        if w in node:
+                            further.append((node[w], slipped + k, letters + len(w), (*mended, (-(start + n), at)) if at else mended))
+                live, n = further, n + 1
+                for node, slipped, letters, mended in live:
+                    # One word alone must be close: two slips need six letters, one slip three.
+                    if None not in node or n == 1 and slipped > 1 and letters < 6:
+                        continue
+                    # Words found count most, less what had to be mended; of equal ones the first
+                    # reading, the words as typed before others, and in it the first mention.
+                    rank = (-(n - 0.4 * slipped), -letters, slipped, mended, -n, start)
+                    if best is None or rank < best[0]:
+                        best = rank, node[None][1]
+        return best and best[1]
+
+    def _cover(self, wanted: dict[str, int], places: list[tuple[list[tuple[int, str]], int]]) -> int | None:
+        """The least slips with which different places of the value give all of ``wanted``."""
+        least = {0: 0}
+        for options, times in places:
+            use = [(k, wanted[w]) for k, w in options if w in wanted]
+            for _ in range(min(times, len(use))):
+                for mask, slipped in list(least.items()):
+                    for k, bit in use:
+                        total = slipped + k
+                        if total <= MOST_SLIPS and total < least.get(mask | bit, MOST_SLIPS + 1):
+                            least[mask | bit] = total
+        return least.get(sum(wanted.values()))
+
+    def _partly(self, wanted: dict[str, int], common: int, places: list[tuple[list[tuple[int, str]], int]]) -> Iterator[tuple[int, int, int]]:
+        """(words of ``wanted``, different words, slips) of the readings that can be similar enough."""
+        # A word of one place only, not wanted, just counts; no word is mended to become it.
+        seen = Counter(w for options, _ in places for _, w in options)
+        shared = {w for w, n in seen.items() if n > 1} | wanted.keys()
+        most = common if len(wanted) == 1 else min(common, len(wanted) - 1)
+        # With so many slips, how many words beside the wanted ones leave the similarity needed.
+        room = [2 * most / (LEAST_SIMILARITY + SLIP_COST * k) - len(wanted) - most + 1e-6 for k in range(MOST_SLIPS + 1)]
+        states = {(frozenset(), 0): 0}
+        for options, times in places:
+            use = [(k, w) for k, w in options if w in shared]
+            lone = options[0][1] not in shared
+            # From one more time than slips on, one is left as typed.
+            within = {(words, others, False): slipped for (words, others), slipped in states.items()}
+            for _ in range(min(times, MOST_SLIPS + 1) if len(options) > 1 else 1):
+                after: dict = {}
+                for (words, others, kept), slipped in within.items():
+                    ways = [(slipped + k, (words | {w}, others, kept)) for k, w in use]
+                    if lone:
+                        ways.append((slipped, (words, others + (not kept), True)))
+                    for total, state in ways:
+                        if total <= MOST_SLIPS and len(state[0] - wanted.keys()) + state[1] <= room[total] and total < after.get(state, MOST_SLIPS + 1):
+                            after[state] = total
+                within = after
+            states = {}
+            for (words, others, _), slipped in within.items():
+                states[words, others] = min(slipped, states.get((words, others), slipped))
+        for (words, others), slipped in states.items():
+            yield len(words & wanted.keys()), len(words) + others, slipped
+
+    def _similar(self, near: list[list[tuple[int, str]]]) -> int:
+        """The entry with most words in common in any reading, UNMATCHED if none has enough. A slip
+        costs so much that no reading with more than MOST_SLIPS counts, whatever its length."""
+        typed = Counter(options[0][1] for options in near)
+        known = {options[0][1]: options for options in near}
+        places = [(known[w], n) for w, n in typed.items()]
+        at: dict[str, list[int]] = {}
+        for j, (options, _) in enumerate(places):
+            for _, w in options:
+                at.setdefault(w, []).append(j)
         similar = (0.0, 0, -UNMATCHED)
-        for words, slipped in read if len(spoken) <= STRETCH else [(spoken, [])]:
-            words = frozenset(words)
-            for s in {s for w in words for s in self.by_word.get(w, ())}:
-                common = len(s & words)
-                score = 1.0 if common == len(s) > 1 else 2 * common / (len(s) + len(words))
-                similar = max(similar, (score - 0.05 * sum(slipped), common, -self.sets[s]))
+        for s, common in Counter(s for w in at for s in self.by_word.get(w, ())).items():
+            wanted = {w: 1 << j for j, w in enumerate(s)}
+            if common == len(s) > 1:
+                slipped = self._cover(wanted, [places[j] for j in sorted({j for w in s for j in at[w]})])
+                if slipped is not None:
+                    similar = max(similar, (1.0 - SLIP_COST * slipped, len(s), -self.sets[s]))
+            # A mended word takes at most one from the different words typed.
+            if 2 * common >= LEAST_SIMILARITY * (len(s) + max(common, len(places) - MOST_SLIPS)):
+                for c, n, slipped in self._partly(wanted, common, places):
+                    if c < len(s) or c == 1:
+                        similar = max(similar, (2 * c / (len(s) + n) - SLIP_COST * slipped, c, -self.sets[s]))
         return -similar[2] if similar[0] >= LEAST_SIMILARITY else UNMATCHED
 
+    def _match(self, value: str) -> int:
+        near = [self.near(w) for w in plain(value).split()]
+        found = self._mention(near)
+        return self._similar(near) if found is None else found
+
 
 @lru_cache(maxsize=4)
 def matcher_of(names: tuple[tuple[str, int], ...], aliases: tuple[tuple[str, str], ...]) -> Matcher:

@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,44 @@ def test_long_values_are_read_whole():
     assert m.match(filler * 500) == -1
 
 
+@pytest.mark.parametrize(
+    "typed",
+    [
+        "acepted as an orral talk, as the chairs, both raters and one later reader had thought that this is a most solid paper",
+        "the chairs both raters and one later reader had thought that this most solid paper was good and so we said that it be acepted as an orral talk as hosts",
+        "most later raters had thought both chairs like one solid acepted orral",
+    ],
+)
+def test_many_unknown_words_do_not_hide_a_mention(typed):
+    assert C.Matcher(IDS, C.decision_aliases()).match(typed) == 1
+
+
+def every_reading(m, words):
+    """Brute force: the rank of the best mention in any reading, else the best similarity."""
+    best, similar = [], [(0.0, 0, 1)]
+    for way in itertools.product(*(m.near(w) for w in words)):
+        read, slipped = [w for _, w in way], [n for n, _ in way]
+        for i, j in itertools.combinations(range(len(read) + 1), 2):
+            if (found := m.patterns.get(" ".join(read[i:j]))) is not None and not (j - i == 1 and slipped[i] > 1 and len(read[i]) < 6):
+                best.append(((j - i - 0.4 * sum(slipped[i:j]), sum(map(len, read[i:j])), -sum(slipped)), found))
+        for s, i in m.sets.items():
+            common = len(s & set(read))
+            score = 1.0 if common == len(s) > 1 else 2 * common / (len(s) + len(set(read)))
+            similar.append((score - 0.05 * sum(slipped), common, -i))
+    if best:
+        return {i for r, i in best if r == max(best)[0]}
+    return {-max(similar)[2] if max(similar)[0] >= C.LEAST_SIMILARITY else -1}
+
+
+def test_one_pass_equals_all_readings():
+    names = {"Green Apple": 1, "Apple Pie": 2, "Pear": 3, "Great Grain Bread": 4, "Bread with Pear and Apple Jam": 5}
+    m, rng = C.Matcher(names, [("grape pie", "Apple Pie")]), random.Random(2)
+    words = ["green", "gren", "apple", "aple", "appel", "pie", "pia", "pear", "peaar", "great", "greet", "grain", "gran", "bread", "braed", "jam", "jim", "with", "wiht", "and", "house", "xx"]
+    for _ in range(400):
+        typed = [rng.choice(words) for _ in range(rng.randint(1, 7))]
+        assert m.match(" ".join(typed)) in every_reading(m, typed), typed
+
+
 def test_longest_mention_wins():
     m = C.Matcher({"New York": 1, "York": 2, "New": 3}, [("big apple", "New York")])
     assert [m.match(x) for x in ("in New York today", "york", "The Big-Apple!", "old york road", "")] == [1, 2, 1, 2, -1]
