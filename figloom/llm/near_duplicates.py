@@ -10,6 +10,7 @@ rows and not with the pairs. Candidates are checked exactly on whole bags.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 
 from figloom.workspace import discard, materialize
 
-#: With BANDS bands of ROWS bins a pair with a Jaccard similarity of 0.75 (bags that share seven
-#: eighths of their words) is in one bucket at least with probability 0.998, while two unrelated
-#: abstracts (about 0.1) meet in a band once in a hundred million.
-ROWS, BANDS = 8, 60
 #: A bucket is hot if it holds more than one in so many bags.
 HOT_BUCKETS = 1000
 #: Four fifths, as integers so that the comparison is exact.
 SHARE = (4, 5)
+#: Bins of a band, and the probability that a pair with just SHARE in common is in one bucket.
+ROWS, RECALL = 6, 0.999
+#: Bags with SHARE in common have a Jaccard similarity of 4 / (2 * 5 - 4) at least, two thirds; so many
+#: bands it takes. Two unrelated abstracts (about 0.1) meet in a band once in a million.
+BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - (SHARE[0] / (2 * SHARE[1] - SHARE[0])) ** ROWS))
 WORD = re.compile(r"[^\W_]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)

@@ -105,3 +105,13 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)], "a long, b long")
     got = {r.node: r.root for r in N.components(df).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+
+
+def test_pairs_at_the_limit_share_a_bucket():
+    """80 of 100 words in common: no pair of the rule is less similar."""
+    rng, texts = np.random.default_rng(11), []
+    for _ in range(1500):
+        w = [f"w{i}" for i in rng.choice(10**6, 120, replace=False)]
+        texts += [" ".join(w[:100]), " ".join(w[20:])]
+    bands = N.bands_of(N.one_permutation(*N.bags_of(texts, N._Words()), N.ROWS * N.BANDS))
+    assert (bands[::2] == bands[1::2]).any(axis=1).mean() >= 0.99
