@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from figloom.llm.tokens import TOKENIZER, token_count
 from figloom.workspace import materialize
 
-#: Documents of a shard on average, and pairs tried for the gap of a container.
-SHARD_ROWS, PAIRS_TRIED = 20_000, 512
+#: Documents of a shard on average.
+SHARD_ROWS = 20_000
 
 
 class _Pool:
@@ -36,6 +36,10 @@ class _Pool:
         """The largest unpacked size up to ``bound``, or 0."""
         return (self.mask & ((2 << bound) - 1)).bit_length() - 1 if bound > 0 and self.mask & ((2 << bound) - 1) else 0
 
+    def least(self) -> int:
+        """The smallest unpacked size, or 0."""
+        return (self.mask & -self.mask).bit_length() - 1 if self.mask else 0
+
     def take(self, size: int) -> None:
         self.count[size] -= 1
         if not self.count[size]:
@@ -50,10 +54,9 @@ class _Pool:
 def best_two(pool: _Pool, gap: int, beyond: int) -> tuple[int, int] | None:
     """Two unpacked sizes whose sum is the largest up to ``gap`` and more than ``beyond``."""
     best, found = beyond, None
-    a = pool.largest(gap - 1)
-    for _ in range(PAIRS_TRIED):
-        if 2 * a <= best or a == 0:  # the second is no larger than the first
-            break
+    # Larger ones leave no room for a second.
+    a = pool.largest(gap - pool.least())
+    while 2 * a > best and a > 0:  # the second is no larger than the first
         b = pool.largest(min(a, gap - a))
         if b == a and pool.count[a] < 2:
             b = pool.largest(min(a - 1, gap - a))

@@ -27,6 +27,11 @@ def test_two_fit_against_brute_force():
         assert (sum(found) if found else None) == max(sums, default=None)
 
 
+def test_two_fit_is_found_below_many_sizes_without_a_partner():
+    sizes = np.array([*range(2493, 3192), 1500, 700])
+    assert P.best_two(P._Pool(sizes), 3192, 0) == (1500, 700)
+
+
 def test_packing_is_whole_and_tight():
     rng = random.Random(2)
     sizes = np.array([min(500, int(rng.lognormvariate(4, 1)) + 1) for _ in range(5000)])
