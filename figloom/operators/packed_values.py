@@ -10,6 +10,7 @@ so chosen. Each field is finally parsed in its cheapest dialect.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -160,13 +161,12 @@ def _content(quoted: str, close: str) -> str:
 
 
 def dialects_for(field: str) -> list[Dialect]:
-    """The dialects whose separators occur in the field: none, each one, and all together."""
+    """The dialects whose separators occur in the field: none, each one, and every set of several,
+    larger ones first; sets of several protect quotations."""
     present = [m for m in SEPARATORS if re.search(SEPARATORS[m], field)]
     out = [NONE] + [(frozenset([m]), q) for m in present for q in ((True, False) if any(c in field for c in QUOTES) else (True,))]
-    if len(present) > 1:
-        out.append((frozenset(present), True))
-        if len(present) > 2:
-            out += [(frozenset(present) - {m}, True) for m in present]
+    for left_out in range(len(present) - 1):
+        out += [(frozenset(present) - set(few), True) for few in itertools.combinations(present, left_out)]
     return out
 
 

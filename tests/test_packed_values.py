@@ -38,6 +38,12 @@ def test_round_trip_of_quoted_values():
     assert any(v == values for _, v in parses(packed))
 
 
+@pytest.mark.parametrize("field,values", [("a, b; c • d / e, f", ["a", "b; c • d", "e", "f"]), ("a, b; c • d / e、f", ["a", "b", "c", "d / e、f"])])
+def test_every_set_of_separators_is_tried(field, values):
+    """Two of four kinds of marks separate, three of five."""
+    assert any(v == values for _, v in parses(field))
+
+
 @pytest.mark.parametrize("hot", [1000, 0])
 def test_corpus_decides_an_ambiguous_field(spark, monkeypatch, hot):
     monkeypatch.setattr(packed_values, "HOT_VALUES", hot)
