@@ -1,20 +1,22 @@
 """Reading level of documents.
 
-Classic readability formulas, from sentence length and syllables counted by hyphenation-style
-rules, give several grade estimates of every sentence; their median is its grade. Formulas alone
-take long but familiar words for hard ones, and run-on speech for long sentences. So the grades
-are calibrated on a bounded sample of rated documents: a softmax over the grade estimates, their
-median and a familiarity of words learned from the ratings gives each sentence a level from 1 to
-5. A document has the level that the median of its words has, so a stray sentence decides nothing.
+Six classic readability formulas, from sentence length and from syllables and letters of words,
+give each sentence six grade estimates. Long words that children know and short ones that only
+specialists know mislead them; so, as Gunning's rule excepts familiar words from the hard ones, a
+word that ratings show to be familiar to a reader counts as one syllable and one shown not to be
+as a hard word, whatever its letters; other words count as they are. Ratings of a bounded sample
+turn each formula's grade into a level by a monotone fit, and the median of the six is the level
+of the sentence. A document has the level of the median of its words, so a stray sentence decides
+nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -27,11 +29,19 @@ from pyspark.sql import functions as F
 MAX_RATED, MAX_RATED_CHARS = 4000, 20_000
 #: Fewer rated documents than this calibrate nothing; levels are then read off the median grade.
 LEAST_RATED = 20
-#: Words kept in the learned familiarity, those of most documents first.
-MAX_LEXICON = 30_000
-#: Words in a unit at most; longer stretches without a full stop are cut evenly.
-MAX_UNIT = 22
+#: More words than this without a mark are no sentence but text that has lost its marks; it counts
+#: as sentences of a usual length.
+LONGEST, USUAL = 60, 15
+#: Clauses joined by a conjunction count as sentences if both have so many words.
+LEAST_CLAUSE = 5
 LEVELS = 5
+#: A word is familiar up to a level if it is at least half as frequent there as it would be if all
+#: levels used it alike; of a word in a single rated document nothing is known.
+FAMILIAR, LEAST_SEEN = 0.5, 2
+#: Syllables and letters that a familiar word has at most, and an unfamiliar one at least.
+EASY_SYLLABLES, EASY_LETTERS, HARD_SYLLABLES, HARD_LETTERS = 1, 4, 3, 8
+#: A text of unstated language is scored if so many of its words occur in rated texts.
+LEAST_KNOWN = 0.5
 #: Grades at which levels 2, 3, 4 and 5 begin where nothing is calibrated.
 GRADE_STEPS = (3.5, 6.5, 10.5, 15.0)
 
@@ -40,28 +50,19 @@ _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
 _MATH = re.compile(r"\$[^$\n]{1,300}\$|\\[a-zA-Z]+")
 _CITED = re.compile(r"\[\d[\d,\s–-]*\]|\((?:[^()\d]{1,80}\s)?(?:et al\.?,?\s)?\d{4}[a-z]?\)|\([^()]{1,60}et al\.[^()]{0,20}\)")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*[\r\n]+[ \t]*(?=[^\W\d_])")
-_END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s|$)|\n[ \t\r]*\n|[;:](?=\s)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: A word, or the end of a sentence: its mark, a blank line or the begin of a list item.
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?…]+[\"'”’)\]]*(?=\s|$)|\n[ \t\r]*\n|\n[ \t]*[-*•][ \t]|[;:](?=\s)")
+#: Conjunctions that join clauses.
+JOINING = ("and", "but", "so")
 
 
 def clean(text: str) -> str:
     """Text without markup, links, formulas and references, with words broken by lines joined."""
     text = html.unescape(_TAG.sub(" ", text))
-    text = _BROKEN.sub("", text.replace("­", ""))
+    text = _BROKEN.sub("", text.replace("\u00ad", ""))
     return _CITED.sub(" ", _MATH.sub(" ", _LINK.sub(" ", text)))
 
 
-def units(text: str) -> list[list[str]]:
-    """Sentences as lists of lower-case words; stretches beyond MAX_UNIT words cut evenly."""
-    out = []
-    for sentence in _END.split(clean(text).lower()):
-        words = _WORD.findall(sentence)
-        pieces = -(-len(words) // MAX_UNIT)
-        for k in range(pieces):
-            out.append(words[len(words) * k // pieces : len(words) * (k + 1) // pieces])
-    return out
-
-
 _VOWELS = re.compile(r"[aeiouyàâäæéèêëíîïóôöœúùûüÿ]+")
 #: Endings in which a vowel is silent, and places where two vowels are two syllables.
 _SILENT = re.compile(r"(?:[^aeiouylrw]|[^l]l|[^r]r)e$|[^aeiouytd]ed$|[^aeiouyscxzgh]es$|[aeiouy][^aeiouy]+ely$|[^aeiouy]eful$|[^aeiouy]eless$|[^aeiouy]ement")
@@ -74,127 +75,185 @@ def syllables(word: str) -> int:
     return max(1, len(_VOWELS.findall(word)) + len(_APART.findall(word)) - len(_SILENT.findall(word)))
 
 
-#: What is known of a sentence: six grade estimates, their median, and the words' familiarity.
-FEATURES = ("flesch_kincaid", "fog", "smog", "ari", "coleman_liau", "lix", "median", "length", "syllables", "level", "easy", "hard", "unseen")
+FORMULAS = ("flesch_kincaid", "fog", "smog", "ari", "coleman_liau", "lix")
+_END, _JOIN = 0, 1
 
 
-@dataclass(frozen=True)
-class Model:
-    """lexicon: level of familiar words; weights: softmax over standardized FEATURES."""
+class Vocabulary(dict):
+    """Words to numbers; a mark that ends a sentence is _END. Numbered words keep letters and syllables."""
 
-    lexicon: dict[str, float]
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    def __init__(self):
+        self.words = ["", *JOINING]
+        self.update({w: n for n, w in enumerate(JOINING, 1)})
 
+    def __missing__(self, token: str) -> int:
+        if token[0] in ".!?…;:\n":
+            return _END
+        self[token] = n = len(self.words)
+        self.words.append(token)
+        return n
 
-class _Vocabulary(dict):
-    """Words to row numbers of a table (letters, syllables, learned level)."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.rows = lexicon, []
+@dataclass(frozen=True)
+class Parsed:
+    """Texts as word numbers: ``words`` one after another, ``lengths`` of the sentences and the
+    document of each sentence."""
+
+    words: np.ndarray
+    lengths: np.ndarray
+    document: np.ndarray
+    documents: int
+
+
+def parse(texts: list[str], known: Vocabulary) -> Parsed:
+    """Sentences of texts. Joined clauses count as sentences, and text of more than LONGEST words
+    that has lost its marks as sentences of about USUAL words."""
+    tokens = [np.array([_END, *map(known.__getitem__, _TOKEN.findall(clean(t).lower()))], dtype=np.int32) for t in texts]
+    flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int32)
+    document = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+    word = flat != _END
+    # A sentence is numbered by the ends before it; documents begin with one.
+    sentence, words, document = np.cumsum(~word)[word], flat[word], document[word]
+    if not len(words):
+        return Parsed(words, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), len(texts))
+    at = np.arange(len(words))
+    new = np.r_[True, sentence[1:] != sentence[:-1]]
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.r_[starts, len(words)])
+    for i in np.flatnonzero(lengths > LONGEST):
+        pieces = -(-lengths[i] // USUAL)
+        new[starts[i] + lengths[i] * np.arange(pieces) // pieces] = True
+    # A clause begins at a conjunction far enough from the conjunction or begin before it and from the end.
+    left = np.r_[np.flatnonzero(new)[1:], len(words)][np.cumsum(new) - 1] - at
+    joins = (words >= _JOIN) & (words <= len(JOINING))
+    before = np.maximum.accumulate(np.where(new | joins, at, 0))
+    new |= joins & (at - np.r_[0, before[:-1]] >= LEAST_CLAUSE) & (left >= LEAST_CLAUSE)
+    starts = np.flatnonzero(new)
+    return Parsed(words, np.diff(np.r_[starts, len(words)]), document[starts], len(texts))
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.rows)
-        self.rows.append((len(word), syllables(word), self.lexicon.get(word, np.nan)))
-        return n
+
+@dataclass(frozen=True)
+class Model:
+    """lexicon: for each word bits 1, 2, 4, 8 for being familiar up to level 1, 2, 3, 4. steps: for
+    each of these levels and each formula the grades at which the share of text beyond the level
+    rises, and the shares. languages: those with enough rated documents."""
+
+    lexicon: dict[str, int]
+    steps: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
+    languages: frozenset[str] = frozenset()
+
+
+def grades(parsed: Parsed, known: Vocabulary, lexicon: dict[str, int] | None = None) -> np.ndarray:
+    """[sentence, level, formula]: the six grades with the words familiar up to each level but the
+    last; without a lexicon words count as they are written, for a single level."""
+    letters = np.array([len(w) for w in known.words], dtype=float)
+    sounded = np.array([syllables(w) for w in known.words], dtype=float)
+    n = parsed.lengths.astype(float)
+    start = np.r_[0, np.cumsum(parsed.lengths)[:-1]].astype(np.int64)
+    out = np.zeros((len(n), LEVELS - 1 if lexicon is not None else 1, len(FORMULAS)))
+    if not len(n):
+        return out
+    bits = np.array([lexicon.get(w, -1) for w in known.words]) if lexicon is not None else None
+    for k in range(out.shape[1]):
+        long, many = letters, sounded
+        if bits is not None:
+            familiar, strange = (bits >= 0) & (bits >> k & 1 == 1), (bits >= 0) & (bits >> k & 1 == 0)
+            long = np.where(familiar, np.minimum(letters, EASY_LETTERS), np.where(strange, np.maximum(letters, HARD_LETTERS), letters))
+            many = np.where(familiar, EASY_SYLLABLES, np.where(strange, np.maximum(sounded, HARD_SYLLABLES), sounded))
+        table = np.column_stack([long, many, many >= 3, long > 6])
+        L, S, hard, longer = (np.add.reduceat(table[parsed.words], start, axis=0) / n[:, None]).T
+        out[:, k] = np.column_stack(
+            [
+                0.39 * n + 11.8 * S - 15.59,
+                0.4 * (n + 100 * hard),
+                1.043 * np.sqrt(30 * hard * n) + 3.1291,
+                4.71 * L + 0.5 * n - 21.43,
+                5.88 * L - 29.6 / n - 15.8,
+                (n + 100 * longer) / 5 - 1,
+            ]
+        )
+    return out
 
 
-def features(texts: list[list[list[str]]], lexicon: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, words, document) of every unit of documents given as units."""
-    known = _Vocabulary(lexicon)
-    flat = [u for t in texts for u in t]
-    n = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    if not len(flat):
-        return np.zeros((0, len(FEATURES))), n, doc
-    at = np.fromiter((known[w] for u in flat for w in u), dtype=np.int64, count=int(n.sum()))
-    table = np.array(known.rows, dtype=float)
-    letters, syls, level = table[at].T
-    start = np.r_[0, np.cumsum(n)[:-1]]
-    per_word = lambda x: np.add.reduceat(x.astype(float), start) / n
-    L, S, many, long = per_word(letters), per_word(syls), per_word(syls >= 3), per_word(letters > 6)
-    seen = ~np.isnan(level)
-    share = per_word(seen)
-    some = np.maximum(share, 1e-9)
-    mean_level = np.where(share > 0, per_word(np.where(seen, level, 0)) / some, 3.0)
-    grades = np.column_stack(
-        [
-            0.39 * n + 11.8 * S - 15.59,
-            0.4 * (n + 100 * many),
-            1.043 * np.sqrt(30 * many * n) + 3.1291,
-            4.71 * L + 0.5 * n - 21.43,
-            5.88 * L - 29.6 / n - 15.8,
-            (n + 100 * long) / 5 - 1,
-        ]
-    )
-    easy, hard = per_word(seen & (level < 2.3)), per_word(seen & (level > 3.7))
-    return np.column_stack([grades, np.median(grades, axis=1), n, S, mean_level, easy, hard, 1 - share]), n, doc
-
-
-def learn_lexicon(texts: list[list[list[str]]], levels: list[int]) -> dict[str, float]:
-    """Mean level of the documents in which a word occurs, drawn to the mean where they are few."""
-    total, count = defaultdict(float), Counter()
-    # Levels weigh alike however many documents they have.
-    weight = {k: len(levels) / (len(set(levels)) * c) for k, c in Counter(levels).items()}
-    documents = Counter()
-    for units_, level in zip(texts, levels):
-        for w in {w for u in units_ for w in u}:
-            documents[w] += 1
-            count[w] += weight[level]
-            total[w] += weight[level] * level
-    kept = [w for w, c in sorted(documents.items(), key=lambda x: (-x[1], x[0]))[:MAX_LEXICON] if c > 1]
-    return {w: (total[w] + 0.5 * 3) / (count[w] + 0.5) for w in kept}
-
-
-def fit(texts: list[str], levels: list[int], rounds: int = 400) -> Model:
-    """Calibrate on rated texts. Features of a half of the texts use the other half's lexicon."""
+def learn_lexicon(parsed: Parsed, known: Vocabulary, levels: np.ndarray) -> dict[str, int]:
+    """Up to which levels the words of rated documents are familiar. Levels weigh alike however
+    many documents they have."""
+    owner = np.repeat(parsed.document, parsed.lengths)
+    pairs = np.unique(owner * len(known.words) + parsed.words)
+    owner, word = pairs // len(known.words), pairs % len(known.words)
+    count = np.bincount(levels, minlength=LEVELS + 1)
+    weight = len(levels) / ((count > 0).sum() * np.maximum(count, 1))
+    use = np.zeros((len(known.words), LEVELS))
+    np.add.at(use, (word, levels[owner] - 1), weight[levels[owner]])
+    alike = np.arange(1, LEVELS) / LEVELS
+    share = (np.cumsum(use, axis=1)[:, : LEVELS - 1] + 0.5 * alike) / (use.sum(1, keepdims=True) + 0.5)
+    bits = ((share >= FAMILIAR * alike) << np.arange(LEVELS - 1)).sum(1)
+    seen = np.bincount(word, minlength=len(known.words))
+    return {known.words[i]: int(bits[i]) for i in np.flatnonzero(seen >= LEAST_SEEN)}
+
+
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, values): the rising step function of x nearest to y by weighted squares."""
+    x, inverse = np.unique(x, return_inverse=True)
+    w = np.bincount(inverse, weight)
+    means = np.bincount(inverse, weight * y) / w
+    blocks: list[tuple[float, float, int]] = []
+    for i in range(len(x)):
+        mean, mass, first = means[i], w[i], i
+        while blocks and blocks[-1][0] >= mean:
+            m, v, first = blocks.pop()
+            mean, mass = (m * v + mean * mass) / (v + mass), v + mass
+        blocks.append((mean, mass, first))
+    return x[[b[2] for b in blocks]], np.array([b[0] for b in blocks])
+
+
+def fit(texts: list[str], levels: list[int], languages: frozenset[str] = frozenset()) -> Model:
+    """Calibrate on rated texts. Grades of a half of the texts use the other half's lexicon."""
     if len(texts) < LEAST_RATED or len(set(levels)) < 2:
         return Model({})
-    parsed, levels = [units(t) for t in texts], list(levels)
-    halves = [[i for i in range(len(texts)) if i % 2 == k] for k in (0, 1)]
-    X, W, Y = [], [], []
+    known, rated = Vocabulary(), np.array(levels)
+    halves = [np.arange(len(texts)) % 2 == k for k in (0, 1)]
+    parsed = [parse([t for t, mine in zip(texts, h) if mine], known) for h in halves]
+    G, W, Y = [], [], []
     for k in (0, 1):
-        lexicon = learn_lexicon([parsed[i] for i in halves[1 - k]], [levels[i] for i in halves[1 - k]])
-        x, n, doc = features([parsed[i] for i in halves[k]], lexicon)
-        y = np.array([levels[i] for i in halves[k]])[doc] if len(doc) else np.zeros(0, int)
+        here = parsed[k]
+        G.append(grades(here, known, learn_lexicon(parsed[1 - k], known, rated[halves[1 - k]])))
         # A document weighs one, whatever its length.
-        words = np.bincount(doc, weights=n, minlength=len(halves[k]))
-        X.append(x), W.append(n / words[doc]), Y.append(y)
-    X, W, Y = np.concatenate(X), np.concatenate(W), np.concatenate(Y)
-    mean, scale = X.mean(0), X.std(0) + 1e-9
-    Z = np.column_stack([(X - mean) / scale, np.ones(len(X))])
-    target = np.eye(LEVELS)[Y - 1]
-    share = np.bincount(Y - 1, weights=W, minlength=LEVELS)
-    W = W / np.maximum(share, 1e-9)[Y - 1] / max(1, (share > 0).sum())
-    w, m, v = np.zeros((Z.shape[1], LEVELS)), 0.0, 0.0
-    for step in range(1, rounds + 1):
-        p = np.exp((s := Z @ w) - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = Z.T @ ((p - target) * W[:, None]) + 1e-4 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return Model(learn_lexicon(parsed, levels), mean, scale, w)
-
-
-def score(texts: list[str], model: Model) -> list[tuple[float, float, int]]:
-    """(median grade, level as a number, level from 1 to 5) of each text; nan and 0 without words."""
-    x, n, doc = features([units(t) for t in texts], model.lexicon)
-    grade = x[:, FEATURES.index("median")]
-    if model.weights is None:
-        level = 1.0 + np.searchsorted(GRADE_STEPS, grade, side="right")
-    else:
-        s = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))]) @ model.weights
-        p = np.exp(s - s.max(1, keepdims=True))
-        level = (p / p.sum(1, keepdims=True)) @ np.arange(1, LEVELS + 1)
-    starts, ends = np.searchsorted(doc, np.arange(len(texts))), np.searchsorted(doc, np.arange(len(texts)), side="right")
+        W.append(here.lengths / np.bincount(here.document, here.lengths, minlength=here.documents)[here.document])
+        Y.append(rated[halves[k]][here.document])
+    g, w, y = np.concatenate(G), np.concatenate(W), np.concatenate(Y)
+    w = w / np.bincount(y, w)[y]
+    steps = [[rising(g[:, k, f], (y > k + 1).astype(float), w) for f in range(len(FORMULAS))] for k in range(LEVELS - 1)]
+    whole = Vocabulary()
+    return Model(learn_lexicon(parse(texts, whole), whole, rated), steps, languages)
+
+
+def sentence_levels(g: np.ndarray, model: Model) -> np.ndarray:
+    """[sentence]: the median of the formulas' levels; the share beyond each level adds up to a level."""
+    out = np.ones((len(g), len(FORMULAS)))
+    for k, formulas in enumerate(model.steps):
+        for f, (start, share) in enumerate(formulas):
+            out[:, f] += share[np.maximum(np.searchsorted(start, g[:, k, f], side="right") - 1, 0)]
+    return np.median(out, axis=1)
+
+
+def score(texts: list[str], model: Model) -> list[tuple[float, float, int, float]]:
+    """(median grade, level as a number, level from 1 to 5, share of words that occur in rated
+    texts) of each text; nan and 0 without words."""
+    known = Vocabulary()
+    parsed = parse(texts, known)
+    grade = np.median(grades(parsed, known)[:, 0], axis=1)
+    level = sentence_levels(grades(parsed, known, model.lexicon), model) if model.steps else 1.0 + np.searchsorted(GRADE_STEPS, grade, side="right")
+    seen = np.array([w in model.lexicon for w in known.words])[parsed.words]
+    starts, ends = (np.searchsorted(parsed.document, np.arange(len(texts)), side=side) for side in ("left", "right"))
+    word_at = np.r_[0, np.cumsum(parsed.lengths)]
     out = []
     for a, b in zip(starts, ends):
         if a == b:
-            out.append((float("nan"), float("nan"), 0))
+            out.append((float("nan"), float("nan"), 0, 0.0))
             continue
-        g, v = (_weighted_median(y[a:b], n[a:b]) for y in (grade, level))
-        out.append((g, v, int(min(LEVELS, max(1, np.floor(v + 0.5))))))
+        g, v = (_weighted_median(y[a:b], parsed.lengths[a:b]) for y in (grade, level))
+        out.append((g, v, int(min(LEVELS, max(1, np.floor(v + 0.5)))), float(seen[word_at[a] : word_at[b]].mean())))
     return out
 
 
@@ -204,8 +263,13 @@ def _weighted_median(x: np.ndarray, weight: np.ndarray) -> float:
     return float(x[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def rated_texts(documents: DataFrame, ratings: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample that the fit sees: text and the median of its valid ratings.
+def language(c: Column) -> Column:
+    """A language in one spelling; null where none is stated."""
+    return F.nullif(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("und"))
+
+
+def rated_texts(documents: DataFrame, ratings: DataFrame) -> list[tuple[str, int, str | None]]:
+    """The bounded sample that the fit sees: text, the median of its valid ratings, language.
 
     Rated documents are kept by a hash of their id, at the share that makes them about MAX_RATED;
     so few ids are broadcast to the scan of the texts, and only their texts come to the driver.
@@ -215,42 +279,56 @@ def rated_texts(documents: DataFrame, ratings: DataFrame) -> list[tuple[str, int
     kept = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, MAX_RATED / max(1, rated))))
     level = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY reading_level)").cast("int").alias("level")
     levels = valid.filter(kept).groupBy("doc_id").agg(level)
-    texts = documents.filter((F.length("text") <= MAX_RATED_CHARS) & F.col("text").rlike(r"\S") & kept).select("doc_id", "text")
+    texts = documents.filter((F.length("text") <= MAX_RATED_CHARS) & F.col("text").rlike(r"\S") & kept).select("doc_id", "text", language(F.col("lang")).alias("lang"))
     # A document id that is repeated without end must not flood the driver: each text counts once.
-    rows = texts.join(F.broadcast(levels), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("level").alias("level")).collect()
-    return sorted((r.text, r.level) for r in rows)
+    one = texts.join(F.broadcast(levels), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"), F.first("level").alias("level"))
+    return sorted(((r.t.text, r.level, r.t.lang) for r in one.collect()), key=lambda r: (r[0], r[1], r[2] or ""))
+
+
+def fitted(documents: DataFrame, ratings: DataFrame) -> Model:
+    rated = rated_texts(documents, ratings)
+    often = Counter(lang for *_, lang in rated if lang is not None)
+    return fit([t for t, *_ in rated], [k for _, k, _ in rated], frozenset(lang for lang, n in often.items() if n >= LEAST_RATED))
+
+
+_READ = "grade double, level_score double, reading_level int, known double"
+_READ_ARROW = pa.struct([("grade", pa.float64()), ("level_score", pa.float64()), ("reading_level", pa.int32()), ("known", pa.float64())])
 
 
 def with_reading_level(df: DataFrame, text: Column, model: Model) -> DataFrame:
-    """``df`` plus grade double, level_score double, reading_level int; columns of these names are
-    replaced. Null, blank and wordless texts have nulls. No shuffle; texts are read whole."""
+    """``df`` plus grade double, level_score double, reading_level int and known double (the share
+    of words that occur in rated texts); columns of these names are replaced. Null, blank and
+    wordless texts have nulls. No shuffle; texts are read whole."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out: list = []
             for start in range(0, len(batch), 200):
                 texts = batch.slice(start, 200).to_pylist()
-                scored = score([t or "" for t in texts], model)
-                out += [None if not k else {"grade": g, "level_score": v, "reading_level": k} for g, v, k in scored]
-            yield pa.array(out, pa.struct([("grade", pa.float64()), ("level_score", pa.float64()), ("reading_level", pa.int32())]))
+                out += [None if not k else {"grade": g, "level_score": v, "reading_level": k, "known": s} for g, v, k, s in score([t or "" for t in texts], model)]
+            yield pa.array(out, _READ_ARROW)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    read = F.arrow_udf(run, "grade double, level_score double, reading_level int")
-    kept = [df[c] for c in df.columns if c not in ("grade", "level_score", "reading_level")]
-    return df.select(*kept, read(text).alias("_read")).select(*[c for c in df.columns if c not in ("grade", "level_score", "reading_level")], "_read.*")
+    kept = [c for c in df.columns if c not in _READ_ARROW.names]
+    return df.select(*[df[f"`{c}`"] for c in kept], F.arrow_udf(run, _READ)(text).alias("_read")).select(*[F.col(f"`{c}`") for c in kept], "_read.*")
 
 
 def document_levels(documents: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Every row of documents with its grade and level, calibrated on the ratings."""
-    rated = rated_texts(documents, ratings)
-    model = fit([t for t, _ in rated], [k for _, k in rated])
-    return with_reading_level(documents, F.col("text"), model)
+    """Every row of documents with its grade and level, calibrated on the ratings. Texts of a
+    language with fewer than LEAST_RATED rated documents have no grade and no level; where no
+    language is stated, the share of known words decides."""
+    model = fitted(documents, ratings)
+    levels = with_reading_level(documents, F.col("text"), model)
+    if not model.steps:
+        return levels
+    said = language(F.col("lang"))
+    fits = F.when(said.isNull(), F.col("known") >= LEAST_KNOWN).otherwise(said.isin(sorted(model.languages)))
+    return levels.withColumns({c: F.when(fits, F.col(c)) for c in ("grade", "level_score", "reading_level")})
 
 
 def easy_documents(documents: DataFrame, ratings: DataFrame, most: int = 2, least_words: int = 40) -> DataFrame:
     """doc_id of English documents of enough words whose level is at most ``most``."""
-    rated = rated_texts(documents, ratings)
-    model = fit([t for t, _ in rated], [k for _, k in rated])
+    model = fitted(documents, ratings)
     english = documents.filter((F.col("lang") == "en") & (F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) >= least_words))
     return with_reading_level(english.select("doc_id", "text"), F.col("text"), model).filter(F.col("reading_level") <= most).select("doc_id")
 

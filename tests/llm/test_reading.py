@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from figloom.llm import reading as R
@@ -18,10 +19,54 @@ def test_syllables(word, n):
     assert R.syllables(word) == n
 
 
-def test_units_ignore_markup_and_layout():
+def sentences(text):
+    known = R.Vocabulary()
+    p = R.parse([text], known)
+    words = [known.words[i] for i in p.words]
+    ends = p.lengths.cumsum()
+    return [words[e - n : e] for e, n in zip(ends, p.lengths)]
+
+
+def test_sentences_ignore_markup_and_layout():
     text = "<p>A butt-\nerfly &amp; a dog [12].\nIt ran $x^2$ home (Smith et al., 2019).</p> See https://x.example/a.b now"
-    assert R.units(text) == [["a", "butterfly", "a", "dog"], ["it", "ran", "home"], ["see", "now"]]
-    assert all(len(u) <= R.MAX_UNIT for u in R.units("and so on " * 100))
+    assert sentences(text) == [["a", "butterfly", "a", "dog"], ["it", "ran", "home"], ["see", "now"]]
+    assert sentences("a b\n\n- c d\n- e; f") == [["a", "b"], ["c", "d"], ["e"], ["f"]]
+    assert sentences("") == sentences("12 ?!") == []
+
+
+def test_sentences_stay_whole_and_joined_clauses_count():
+    whole = "the of in to by " * 8
+    assert [len(s) for s in sentences(whole + ". " + whole)] == [40, 40]
+    assert [len(s) for s in sentences("the cat sat on the mat and then the dog ran to the cat and mouse")] == [6, 10]
+    # Without any mark: pieces of a usual length.
+    lost = sentences("in by to of " * 100)
+    assert sum(map(len, lost)) == 400 and max(map(len, lost)) <= R.USUAL
+    known = R.Vocabulary()
+    p = R.parse(["", "one two. three", None or "", "four"], known)
+    assert p.document.tolist() == [1, 1, 3] and p.documents == 4
+
+
+def test_rising_fit_is_the_nearest_rising_step_function():
+    start, value = R.rising(np.array([3.0, 1.0, 2.0, 2.0]), np.array([1.0, 0.0, 1.0, 0.0]), np.ones(4))
+    assert start.tolist() == [1.0, 2.0, 3.0] and value.tolist() == [0.0, 0.5, 1.0]
+    start, value = R.rising(np.array([1.0, 2.0, 3.0]), np.array([1.0, 0.0, 0.0]), np.array([2.0, 1.0, 1.0]))
+    assert start.tolist() == [1.0] and value.tolist() == [0.5]
+
+
+def test_short_hard_words_and_long_easy_ones():
+    """Familiarity corrects the syllables; the level is the median of the six formulas."""
+    rng = random.Random(3)
+    easy, hard = ["grandmother", "watermelon", "caterpillar", "playground"], ["ker", "sup", "net", "cone"]
+    text = lambda words: " ".join(" ".join(rng.choice(words) for _ in range(8)) + "." for _ in range(5))
+    rated = [(text(easy), 1) for _ in range(30)] + [(text(hard), 5) for _ in range(30)]
+    model = R.fit([t for t, _ in rated], [k for _, k in rated])
+    scored = R.score([text(easy), text(hard), "", "zzz qqq."], model)
+    assert [k for _, _, k, _ in scored[:3]] == [1, 5, 0] and scored[0][0] > scored[1][0] + 5
+    assert [s for *_, s in scored] == [1.0, 1.0, 0.0, 0.0]
+    known = R.Vocabulary()
+    p = R.parse([text(hard)], known)
+    one = R.sentence_levels(R.grades(p, known, model.lexicon), model)
+    assert len(one) == 5 and (one == 5).all()
 
 
 def made(rng, kind, n=8):
@@ -33,7 +78,7 @@ def test_held_out_accuracy():
     rated = [(made(rng, EASY), 1) if rng.random() < 0.5 else (made(rng, HARD), 5) for _ in range(80)]
     model = R.fit([t for t, _ in rated], [k for _, k in rated])
     for kind, right in ((EASY, {1, 2}), (HARD, {4, 5})):
-        assert all(k in right for _, _, k in R.score([made(rng, kind) for _ in range(40)], model))
+        assert all(k in right for _, _, k, _ in R.score([made(rng, kind) for _ in range(40)], model))
     mostly = made(rng, EASY, 12) + " " + HARD[0]
     assert R.score([mostly], model)[0][2] <= 2
     assert R.score([mostly.replace(".", "").replace(" ", "\n")], model)[0][2] <= 2
@@ -43,12 +88,15 @@ def test_rows(spark):
     rng = random.Random(2)
     rows = [(i, made(rng, EASY if i % 2 else HARD), "en", "s", "x", "y") for i in range(60)]
     rows += [(100, None, "en", None, "x", "y"), (101, "", "en", "s", "x", "y"), (102, "?! 12", None, "s", "x", "y"), (103, EASY[0], "en", "s", "x", "y"), (104, made(rng, EASY), "EN", "s", "x", "y"), (105, made(rng, EASY, 20_000), "en", "s", "x", "y"), (1, rows[1][1], "en", "s", "x", "y")]
+    rows += [(106, "Le chat est sur la table.", "fr", "s", "x", "y"), (107, "Le chat est sur la table.", None, "s", "x", "y"), (108, made(rng, EASY), " ", "s", "x", "y"), (109, made(rng, EASY), "fr", "s", "x", "y")]
     ratings = [(i, "r", 1 if i % 2 else 5) for i in range(40)] + [(1, "r2", 9), (2, "r", None), (None, "r", 1), (999, "r", 1), (3, "r2", 0)]
     df, rated = spark.createDataFrame(rows, DOCS), spark.createDataFrame(ratings, "doc_id long, rater_id string, reading_level int")
     found = sorted(r.doc_id for r in R.easy_documents(df, rated).collect())
     assert found == sorted([i for i in range(60) if i % 2] + [105, 1])
     levels = {r.doc_id: r.reading_level for r in R.document_levels(df, rated).collect()}
     assert levels[100] is None and levels[101] is None and levels[102] is None and levels[103] == 1
+    # Not rated, unstated and unlike the rated texts, unstated but like them.
+    assert levels[106] is None and levels[107] is None and levels[108] == 1 and levels[109] is None
     assert sum(r.documents for r in R.level_profile(df, rated).collect()) == len(rows)
     assert R.easy_documents(df.limit(0), rated).count() == 0
     plain = R.document_levels(df, rated.limit(0)).filter("doc_id < 60").collect()
