@@ -2,9 +2,9 @@
 
 Method: best-two-fit. A container is filled greedily, the largest fitting document first; then
 its smallest document is replaced by two unpacked ones that fill the gap so widened more tightly.
-Documents are dealt at random to shards of bounded size and each shard is packed on its own, so
-the work is linear in the documents; what sharding costs is at most the last, partly filled
-container of each shard, one in several thousand.
+Documents are dealt by a seeded hash to shards of bounded size and each shard is packed on its
+own, so the work is linear in the documents; what sharding costs is at most the last, partly
+filled container of each shard, one in several thousand.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from figloom.workspace import materialize
 
 #: Documents of a shard on average.
 SHARD_ROWS = 20_000
+#: Capacities packed for at once by default; each costs one more packing of all sizes.
+MAX_REQUESTS = 1000
+#: Equal rows are dealt to shards in lots of so many; lots of lots bound the lists made of them.
+LOT, LOTS = 64, 100_000
 
 
 class _Pool:
@@ -89,69 +93,86 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
-_PACKED = "container_no long, row long, piece int"
+def _pack_shard(capacities: list[int]):
+    """Packs the rows of one shard for one request; equal rows are one with a number of copies."""
 
-
-def _pack_shard(capacity: int):
     def run(shard: pa.Table) -> pa.Table:
-        order = np.lexsort((shard["piece"].to_numpy(), shard["row"].to_numpy()))
-        row, piece, size = (shard[c].to_numpy()[order] for c in ("row", "piece", "tokens"))
+        # The order of the rows, and with it the containers, depends on keys and sizes only.
+        order = np.lexsort((shard["lot"].to_numpy(), shard["mark"].to_numpy()))
+        copies = shard["copies"].to_numpy()[order]
+        item = np.repeat(order, copies)
+        tokens = shard["tokens"].to_numpy()[item]
+        request, no = shard["request"][0].as_py(), shard["shard"][0].as_py()
+        capacity = capacities[request]
+        # Full pieces need no packing; only rests do.
+        full = np.maximum(tokens - 1, 0) // capacity
+        rest = tokens - full * capacity
         by_size: dict[int, list[int]] = {}
-        for i in range(len(size) - 1, -1, -1):
-            by_size.setdefault(int(size[i]), []).append(i)
-        boxes = [[by_size[s].pop() for s in box] for box in pack_sizes(size[size > 0], capacity)]
+        for i in range(len(rest) - 1, -1, -1):
+            by_size.setdefault(int(rest[i]), []).append(i)
+        boxes = [[by_size[s].pop() for s in box] for box in pack_sizes(rest[rest > 0], capacity)]
         if empty := by_size.get(0):  # texts without tokens fit anywhere
             boxes = boxes or [[]]
             boxes[0] += empty
-        no = np.repeat(np.arange(len(boxes)), [len(b) for b in boxes])
         at = np.array([i for b in boxes for i in b], dtype=np.int64)
-        return pa.table([pa.array(no, pa.int64()), pa.array(row[at], pa.int64()), pa.array(piece[at], pa.int32())], ["container_no", "row", "piece"])
+        box = np.repeat(np.arange(len(boxes)), [len(b) for b in boxes])
+        whole = np.repeat(np.arange(len(full)), full)
+        piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
+        where = np.r_[at, whole]
+        pieces = np.r_[full[at], piece]
+        first = pieces * capacity
+        name = pa.array([f"s{no}-{b}" for b in box] + [f"f{no}-{i}" for i in range(len(whole))], pa.string())
+        keys = shard["key"].take(pa.array(item[where]))
+        return pa.table(
+            [
+                pa.array(np.full(len(where), request), pa.int32()), name, keys, pa.array(pieces, pa.int32()), pa.array(first, pa.int64()),
+                pa.array(np.minimum(tokens[where] - first, capacity), pa.int64()),
+            ],
+            ["request", "container_id", "key", "piece", "first_token", "tokens"],
+        )
 
     return run
 
 
-def pack_documents(documents: DataFrame, key: Column, text: Column, requests: DataFrame, request_id: str, capacity: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(documents: DataFrame, key: Column, text: Column, requests: DataFrame, request_id: str, capacity: str, tokenizer: str = TOKENIZER, seed: int = 42, most_requests: int = MAX_REQUESTS) -> DataFrame:
     """(request_id, container_id, key, piece, first_token, tokens): what lies in which container.
 
     Every row of ``documents`` is placed once for each request; a text longer than the capacity is
     cut into pieces numbered from 0 that fill containers of their own and a rest that is packed
     with the others. Null, empty and tokenless texts have 0 tokens and lie in some container.
     Equal rows are packed one by one; null keys too. Requests without a positive capacity give no
-    rows. container_id is unique within a request.
+    rows. container_id is unique within a request. The result is the same however the rows lie:
+    rows are dealt and ordered by a hash of the seed, their key and their tokens, and rows equal in
+    these are interchangeable.
 
-    Requests are few; one plan is made for each. The sizes are computed once and written.
+    Sizes are computed once and written; one grouping packs them for all requests. Requests are
+    collected; more than ``most_requests`` are refused, so that a caller who has more raises it or
+    packs them in several calls, whose results are independent.
     """
     spark = documents.sparkSession
-    sized = documents.select(key.alias("key"), token_count(text, tokenizer).alias("tokens")).withColumn("row", F.monotonically_increasing_id())
+    wanted = requests.select(request_id, F.col(capacity).cast("long").alias("c")).filter("c > 0").orderBy(request_id, "c").limit(most_requests + 1).collect()
+    if len(wanted) > most_requests:
+        raise ValueError(f"more than {most_requests} requests")
+    sized = documents.select(key.alias("key"), token_count(text, tokenizer).alias("tokens")).groupBy("key", "tokens").agg(F.count("*").alias("n"))
     sized = materialize(sized, "text-sizes")
-    shards = max(1, -(-sized.count() // SHARD_ROWS))
-    out = None
-    for request, most in requests.select(request_id, capacity).filter(F.col(capacity) > 0).orderBy(request_id).collect():
-        # Full pieces need no packing; only rests do.
-        rest = sized.select("row", F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / most).cast("int").alias("piece"), "tokens")
-        rest = rest.withColumn("tokens", F.col("tokens") - F.col("piece").cast("long") * most)
-        shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
-        packed = rest.select("row", "piece", "tokens", shard).groupBy("shard").applyInArrow(_tag_shard(_pack_shard(int(most))), "shard long, " + _PACKED)
-        packed = packed.select(F.format_string("s%d-%d", "shard", "container_no").alias("container_id"), "row", "piece")
-        full = sized.filter(F.col("tokens") > most).select("row", F.explode(F.sequence(F.lit(0), (F.floor((F.col("tokens") - 1) / most) - 1).cast("int"))).alias("piece"))
-        full = full.select(F.format_string("f%d-%d", "row", "piece").alias("container_id"), "row", "piece")
-        one = packed.unionByName(full).join(sized, "row")
-        first = F.col("piece").cast("long") * most
-        one = one.select(
-            F.lit(request).alias("request_id"), "container_id", "key", "piece", first.alias("first_token"), F.least(F.col("tokens") - first, F.lit(most).cast("long")).alias("tokens")
-        )
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = sized.filter(F.lit(False)).select(F.lit(0).alias("request_id"), F.lit("").alias("container_id"), "key", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "tokens")
-    return out
-
-
-def _tag_shard(pack):
-    def run(shard: pa.Table) -> pa.Table:
-        packed = pack(shard)
-        return packed.add_column(0, "shard", pa.array(np.full(packed.num_rows, shard["shard"][0].as_py()), pa.int64()))
-
-    return run
+    shards = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS))
+    request_type, key_type = requests.schema[request_id].dataType, sized.schema["key"].dataType
+    schema = f"request int, container_id string, key {key_type.simpleString()}, piece int, first_token long, tokens long"
+    if not wanted:
+        none = spark.createDataFrame([], schema).drop("request")
+        return none.select(F.lit(None).cast(request_type).alias(request_id), "*")
+    # Lots of equal rows, in two steps so that no list of lots is long.
+    many = LOT * LOTS
+    heaps = sized.withColumn("heap", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / many))))
+    heaps = heaps.withColumn("n", F.least(F.lit(many).cast("long"), F.col("n") - F.col("heap") * many))
+    lots = heaps.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    lots = lots.select("key", "tokens", (F.col("heap") * LOTS + F.col("part")).alias("lot"), F.least(F.lit(LOT).cast("long"), F.col("n") - F.col("part") * LOT).alias("copies"))
+    lots = lots.withColumn("mark", F.xxhash64(F.lit(seed), F.col("key").cast("string"), "tokens"))
+    lots = lots.withColumn("shard", F.pmod(F.xxhash64("mark", "lot"), F.lit(shards)))
+    asked = lots.withColumn("request", F.explode(F.array(*map(F.lit, range(len(wanted))))))
+    packed = asked.groupBy("request", "shard").applyInArrow(_pack_shard([r["c"] for r in wanted]), schema)
+    ids = F.array(*[F.lit(r[0]).cast(request_type) for r in wanted])
+    return packed.select(F.get(ids, F.col("request")).alias(request_id), *packed.columns[1:])
 
 
 def document_containers(documents: DataFrame, requests: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -166,3 +187,16 @@ def container_fill(documents: DataFrame, requests: DataFrame, tokenizer: str = T
     total = boxes.groupBy("request_id").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
     used = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("used_share")
     return total.join(F.broadcast(requests.select("request_id", "capacity_tokens")), "request_id").select("request_id", "capacity_tokens", "containers", "pieces", "tokens", "fullest", used)
+
+
+def containers_kept(documents: DataFrame, requests: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """What must hold for each request: documents placed, containers above capacity, and documents
+    that are missing, twice there or cut where they need not be."""
+    placed = document_containers(documents, requests, tokenizer).join(requests.withColumnRenamed("request_id", "_request"), F.col("request_id").eqNullSafe(F.col("_request")))
+    room = F.col("capacity_tokens")
+    boxes = placed.groupBy("request_id", "container_id", room).agg(F.sum("tokens").alias("t")).groupBy("request_id").agg(F.count_if(F.col("t") > room).alias("overfull"))
+    # The pieces of a document follow one another, all but the last full.
+    pieces = placed.groupBy("request_id", "doc_id", room).agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("tokens").alias("t"), F.max("first_token").alias("first"))
+    right = (F.col("n") == F.col("last") + 1) & (F.col("first") == F.col("last") * room) & (F.col("t") - F.col("first") <= room) & ((F.col("t") > F.col("first")) | (F.col("n") == 1))
+    documents_ = pieces.groupBy("request_id").agg(F.count("*").alias("documents"), F.count_if(~right).alias("misplaced"))
+    return documents_.join(boxes, "request_id").select("request_id", "documents", "overfull", "misplaced")

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from figloom.llm import packing as P
 from figloom.llm.tokens import count_tokens
@@ -79,3 +80,36 @@ def test_shards_together_hold_everything(spark, monkeypatch):
     monkeypatch.setattr(P, "SHARD_ROWS", 50)
     rows = P.document_containers(docs(spark, ["a b c"] * 400), requests(spark, 10)).collect()
     assert len(rows) == 400 and max(Counter(r.container_id for r in rows).values()) <= 3
+
+
+def test_containers_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ROWS", 80)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["word"] * rng.randrange(0, 40)), 1, 2, "k") for i in range(300)] + [(None, "same text here", 1, 2, "k")] * 150
+    found = []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", parts + 1)
+        placed = P.document_containers(spark.createDataFrame(rows, DOCS).repartition(parts), requests(spark, 64, 200))
+        found.append(sorted(map(str, placed.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] and len(found[0]) >= 900
+    kept = P.containers_kept(spark.createDataFrame([r for r in rows if r[0] is not None], DOCS), requests(spark, 64, 200)).collect()
+    assert [(r.documents, r.overfull, r.misplaced) for r in kept] == [(300, 0, 0)] * 2
+
+
+def test_very_many_equal_rows_are_dealt_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ROWS", 50)
+    monkeypatch.setattr(P, "LOT", 2)
+    monkeypatch.setattr(P, "LOTS", 3)
+    rows = P.document_containers(docs(spark, []).unionByName(spark.createDataFrame([(7, "a b c", 1, 2, "k")] * 101, DOCS)), requests(spark, 10)).collect()
+    assert len(rows) == 101 and {r.doc_id for r in rows} == {7}
+
+
+def test_too_many_requests_are_refused_and_a_caller_can_raise_the_number(spark):
+    from pyspark.sql import functions as F
+
+    args = docs(spark, ["a"]), F.col("doc_id"), F.col("text"), requests(spark, 5, 6), "request_id", "capacity_tokens"
+    with pytest.raises(ValueError):
+        P.pack_documents(*args, most_requests=1)
+    assert P.pack_documents(*args, most_requests=2).count() == 2
