@@ -20,8 +20,9 @@ from figloom.functions.text import squeeze_blanks
 from figloom.llm.flow import FlowGraph
 from figloom.workspace import materialize
 
-#: Combinations that the driver solves for; a table with more is refused rather than cut.
-MAX_COMBINATIONS = 50_000
+#: Combinations and requests that the driver solves for by default; more are refused rather than
+#: cut, and a caller with the memory for them raises the numbers.
+MAX_COMBINATIONS, MAX_REQUESTS = 50_000, 1000
 #: A copy of a record already counted costs more than any overuse of a category.
 COPY_COST = 10_000
 KEYS = ["left_group", "left", "right_group", "right"]
@@ -57,29 +58,33 @@ def solve_quotas(counts: list[tuple[tuple, int, int]], size: int) -> dict[tuple,
     return g.flows()
 
 
-def varied_subset(df: DataFrame, key: Column, categories: dict[str, Column], alike: Column, spread: Column, requests: DataFrame, request_id: str, size: str, seed: int = 42) -> DataFrame:
+def varied_subset(df: DataFrame, key: Column, categories: dict[str, Column], alike: Column, spread: Column, requests: DataFrame, request_id: str, size: str, seed: int = 42, most_combinations: int = MAX_COMBINATIONS, most_requests: int = MAX_REQUESTS) -> DataFrame:
     """(request_id, key, left_group, left, right_group, right): the records chosen for each request.
 
     ``categories`` names the four category columns of KEYS, ``alike`` the records that are copies
     of one another, ``spread`` what records of one combination should be spread over (a paper).
     Each request gets exactly its size, or all records if the table has fewer; sizes that are null
     or not positive get none. Null and repeated keys are ordinary rows. The two request columns
-    are the only rows collected, beside one count per combination.
+    are the only rows collected, beside one count per combination. Records are ranked by a hash of
+    the seed and all their columns, so the choice does not depend on how the rows lie; only rows
+    equal in all of these are told apart by their place, and they are interchangeable.
 
     Ranks are cut at the largest size before any shuffle, so a combination with a third of all
     rows sends on no more than that from each task.
     """
     spark = df.sparkSession
-    wanted = [(r[0], r[1]) for r in requests.select(request_id, size).filter(F.col(size) > 0).collect()]
+    wanted = [(r[0], r[1]) for r in requests.select(request_id, size).filter(F.col(size) > 0).limit(most_requests + 1).collect()]
+    if len(wanted) > most_requests:
+        raise ValueError(f"more than {most_requests} requests")
     rows = df.select(key.alias("key"), *[category(categories[k]).alias(k) for k in KEYS], alike.alias("alike"), F.coalesce(spread.cast("string"), F.lit("")).alias("spread"))
     # Equal rows stay different rows: the number of each one is fixed by writing the table.
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "subset-rows")
-    rows = rows.withColumn("rank", F.xxhash64(F.lit(seed), "key", "alike", "row"))
-    first = rows.groupBy(*KEYS, "alike").agg(F.min(F.struct("rank", "row", "key", "spread")).alias("f"), F.count("*").alias("n"))
+    rows = rows.withColumn("rank", F.xxhash64(F.lit(seed), F.col("key").cast("string"), "alike", "spread", *KEYS))
+    first = rows.groupBy(*KEYS, "alike").agg(F.min(F.struct("rank", "key", "row", "spread")).alias("f"), F.count("*").alias("n"))
     first = materialize(first.select(*KEYS, "f.*", "n"), "subset-different")
-    counted = first.groupBy(*KEYS).agg(F.count("*").alias("different"), F.sum("n").alias("n")).limit(MAX_COMBINATIONS + 1).collect()
-    if len(counted) > MAX_COMBINATIONS:
-        raise ValueError(f"more than {MAX_COMBINATIONS} category combinations")
+    counted = first.groupBy(*KEYS).agg(F.count("*").alias("different"), F.sum("n").alias("n")).limit(most_combinations + 1).collect()
+    if len(counted) > most_combinations:
+        raise ValueError(f"more than {most_combinations} category combinations")
     counts = sorted((tuple(r[k] for k in KEYS), r["different"], r["n"]) for r in counted)
     schema = ", ".join([f"request_id {dict(requests.dtypes)[request_id]}", *[f"{k} string" for k in KEYS], "quota long"])
     solved = {n: solve_quotas(counts, n) for n in {n for _, n in wanted}}
@@ -89,8 +94,8 @@ def varied_subset(df: DataFrame, key: Column, categories: dict[str, Column], ali
     needed = quota_df.groupBy(*KEYS).agg(F.max("quota").alias("most"))
 
     # Papers take turns: first one record of each, then a second one, and so on.
-    turn = Window.partitionBy(*KEYS, "spread").orderBy("rank", "row")
-    place = Window.partitionBy(*KEYS).orderBy("copy", "turn", "rank", "row")
+    turn = Window.partitionBy(*KEYS, "spread").orderBy("rank", "key", "row")
+    place = Window.partitionBy(*KEYS).orderBy("copy", "turn", "rank", "key", "row")
     ranked = first.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= most).withColumn("copy", F.lit(0))
     ranked = ranked.select(*KEYS, "key", "row", "rank", "turn", "copy")
     different = {c: d for c, d, _ in counts}
@@ -98,8 +103,9 @@ def varied_subset(df: DataFrame, key: Column, categories: dict[str, Column], ali
         copies = rows.join(first.select("row"), "row", "left_anti").select(*KEYS, "key", "row", "rank", F.lit(1).alias("turn"), F.lit(1).alias("copy"))
         ranked = ranked.unionByName(copies)
     placed = ranked.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
-    # Quotas: one row per request and combination, at most MAX_COMBINATIONS a request.
-    chosen = placed.join(F.broadcast(needed), KEYS).filter("place <= most").join(F.broadcast(quota_df), KEYS).filter("place <= quota")
+    # Quotas: one row per request and combination, sent to every worker only where they are few.
+    small = F.broadcast if len(quotas) <= MAX_COMBINATIONS else lambda df: df
+    chosen = placed.join(small(needed), KEYS).filter("place <= most").join(small(quota_df), KEYS).filter("place <= quota")
     return chosen.select("request_id", "key", *KEYS)
 
 
@@ -127,3 +133,8 @@ def figure_subset(data: DataFrame, papers: DataFrame, requests: DataFrame) -> Da
 def subset_coverage(data: DataFrame, papers: DataFrame, requests: DataFrame) -> DataFrame:
     """How often each category combination was chosen for each request."""
     return figure_subset(data, papers, requests).groupBy("request_id", "clip_type", "cascade_path", "venue", "year").agg(F.count("*").alias("chosen"))
+
+
+def subset_sizes(data: DataFrame, papers: DataFrame, requests: DataFrame) -> DataFrame:
+    """Records and different records chosen for each request."""
+    return figure_subset(data, papers, requests).groupBy("request_id").agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"))

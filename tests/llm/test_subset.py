@@ -2,6 +2,8 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pytest
+
 from figloom.llm import subset as S
 
 T0 = dt.datetime(2026, 1, 1)
@@ -42,8 +44,33 @@ def test_sizes_balance_and_copies(spark):
     assert max(venues.values()) <= 2 * min(venues.values())
     for k in (1, 2):  # the copied figure is there once per combination at most
         assert max(Counter((r.clip_type, r.cascade_path) for r in by[k] if r.id % 3 == 0).values(), default=0) <= 1
-    again = chosen(spark, rows[::-1], papers[::-1], 12)
-    assert len(again[1]) == 12
+
+
+def test_the_choice_does_not_depend_on_the_layout(spark):
+    rng = random.Random(6)
+    rows, papers = skewed(rng)
+    rows += [(5000, "p1", "9", "same", "photo", "t3")] * 40  # equal rows
+    found = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1 if parts > 1 else 10_000_000)
+        by = chosen(spark, rows, papers, 12, 150, 930)
+        found.append(sorted(map(str, (r for k in by for r in by[k]))))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and len(found[0]) == 12 + 150 + 930
+
+
+def test_limits_are_parameters(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, str(i % 3)) for i in range(9)], "id long, kind string")
+    args = df, F.col("id"), dict.fromkeys(S.KEYS, F.col("kind")), F.xxhash64("id"), F.col("kind"), requests(spark, 4), "request_id", "subset_size"
+    for limit in ({"most_combinations": 2}, {"most_requests": 0}):
+        with pytest.raises(ValueError):
+            S.varied_subset(*args, **limit)
+    assert S.varied_subset(*args, most_combinations=3, most_requests=1).count() == 4
 
 
 def test_quotas_against_brute_force():
