@@ -21,6 +21,8 @@ from figloom.workspace import materialize
 #: More sources than this are refused: the patterns of the flow are sets of them.
 MAX_SOURCES = 256
 MAX_PATTERNS = 5_000
+#: Routed (pattern, source) pairs that are sent to every worker at most; more are joined by shuffle.
+MAX_SENT = 50_000
 #: Slices of the seeded order in which tokens are counted before single texts are looked at.
 SLICES = 4096
 
@@ -45,7 +47,7 @@ def route(patterns: dict[tuple[str, ...], int], repeats: dict[str, int], quotas:
     return g.flows()
 
 
-def mix_sources(documents: DataFrame, key: Column, text: Column, source: Column, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, tokenizer: str = TOKENIZER) -> DataFrame:
+def mix_sources(documents: DataFrame, key: Column, text: Column, source: Column, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, tokenizer: str = TOKENIZER, most_sources: int = MAX_SOURCES, most_patterns: int = MAX_PATTERNS) -> DataFrame:
     """(key, source, uses, tokens): the texts of the mix, for which source, and how often.
 
     ``targets``: source, target_share, max_repeats. The mix is meant to have ``total_tokens``; by
@@ -58,13 +60,14 @@ def mix_sources(documents: DataFrame, key: Column, text: Column, source: Column,
     repeats among them. A quota is met from below up to the text on its border, which is taken if
     that is nearer. Null and blank texts and sources that are not named are not used. No targets,
     or an empty table, give no rows. Targets, one token count per pattern and the slices at the
-    borders are all that is collected.
+    borders are all that is collected. More than ``most_sources`` or ``most_patterns`` are refused,
+    not cut; a caller with the memory for a larger flow raises them.
     """
     spark = documents.sparkSession
     wanted = targets.filter(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).groupBy(source_name(F.col("source")).alias("source"))
-    wanted = wanted.agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(MAX_SOURCES + 1).collect()
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    wanted = wanted.agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(most_sources + 1).collect()
+    if len(wanted) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     shares, repeats = {r.source: r.share for r in wanted}, {r.source: int(r.repeats) for r in wanted}
     rows = documents.select(key.alias("key"), text.alias("text"), source_name(source).alias("source"))
     rows = rows.filter(F.col("source").isin(sorted(shares)) & F.col("text").rlike(r"\S"))
@@ -73,9 +76,9 @@ def mix_sources(documents: DataFrame, key: Column, text: Column, source: Column,
     texts = filed.groupBy("text_id").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.min("key").alias("key"), F.max("tokens").alias("tokens"))
     slice_ = F.pmod(F.xxhash64(F.lit(seed), "text_id"), F.lit(SLICES)).cast("int").alias("slice")
     texts = materialize(texts.filter("tokens > 0").select("text_id", F.concat_ws("\t", "pattern").alias("pattern"), "key", "tokens", slice_), "mix-texts")
-    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(most_patterns + 1).collect()
+    if len(sums) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns")
     patterns = {tuple(r.pattern.split("\t")): r.tokens for r in sums}
     total = sum(patterns.values()) if total_tokens is None else total_tokens
     quotas = {s: int(share * total) for s, share in shares.items()}
@@ -101,7 +104,8 @@ def mix_sources(documents: DataFrame, key: Column, text: Column, source: Column,
     # A text is used once for every round in which its middle lies in the stretch.
     passes = lambda x: F.ceil((F.col(x) - F.col("middle")) / F.col("round"))
     uses = (F.greatest(passes("stop"), F.lit(0)) - F.greatest(passes("start"), F.lit(0))).cast("int")
-    mixed = placed.join(F.broadcast(plan), "pattern").withColumn("uses", uses).filter("uses > 0")
+    sent = F.broadcast(plan) if len(plans) <= MAX_SENT else plan
+    mixed = placed.join(sent, "pattern").withColumn("uses", uses).filter("uses > 0")
     return mixed.select("key", "source", "uses", "tokens")
 
 
@@ -123,3 +127,13 @@ def document_mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKE
 
 def document_mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return mix_report(document_mix(documents, targets, tokenizer), targets)
+
+
+def repeats_kept(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """For each wanted source whether no document is used too often, and documents that are in the
+    mix more than once."""
+    mixed = document_mix(documents, targets, tokenizer)
+    once = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"))
+    twice = once.groupBy("source").agg(F.count_if(F.col("n") > 1).alias("twice"))
+    report = mix_report(mixed, targets).join(twice, "source", "left")
+    return report.select("source", (F.col("most_uses") <= F.col("max_repeats")).alias("kept"), F.coalesce("twice", F.lit(0)).cast("long").alias("twice"))

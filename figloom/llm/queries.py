@@ -15,6 +15,9 @@ QUERIES = {
     "p6_fill": lambda spark, d: packing.container_fill(table(spark, d, "documents"), table(spark, d, "pack_request")),
     "p7_mix": lambda spark, d: mixing.document_mix(table(spark, d, "documents"), table(spark, d, "mix_target")),
     "p7_shares": lambda spark, d: mixing.document_mix_shares(table(spark, d, "documents"), table(spark, d, "mix_target")),
+    "p4_sizes": lambda spark, d: subset.subset_sizes(table(spark, d, "diagram_data"), table(spark, d, "papers"), table(spark, d, "subset_request")),
+    "p6_kept": lambda spark, d: packing.containers_kept(table(spark, d, "documents"), table(spark, d, "pack_request")),
+    "p7_kept": lambda spark, d: mixing.repeats_kept(table(spark, d, "documents"), table(spark, d, "mix_target")),
     "p8_found": lambda spark, d: reading.easy_documents(table(spark, d, "documents"), table(spark, d, "reading_labels")),
     "p8_profile": lambda spark, d: reading.level_profile(table(spark, d, "documents"), table(spark, d, "reading_labels")),
     "p3_unmatched": lambda spark, d: canonical.unmatched_decisions(table(spark, d, "papers"), table(spark, d, "decision_ref")),
@@ -30,6 +33,10 @@ _PAIRS = r"""
         group by a.id, b.id, sa.n, sb.n having 5 * sum(least(a.n, b.n)) >= 4 * greatest(sa.n, sb.n))"""
 
 ORACLE = {
+    # What must hold of a choice that SQL cannot make itself.
+    "p4_sizes": "select request_id, least(subset_size, (select count(*) from diagram_data)) as records, least(subset_size, (select count(*) from diagram_data)) as ids from subset_request where subset_size > 0",
+    "p6_kept": "select request_id, (select count(*) from documents) as documents, 0 as overfull, 0 as misplaced from pack_request where capacity_tokens > 0",
+    "p7_kept": "select regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') as source, true as kept, 0 as twice from mix_target group by 1",
     "p2_found": f"with {_PAIRS} select x as platform_id_a, y as platform_id_b from pairs",
     "p2_classes": f"""with recursive {_PAIRS},
         both_ as (select x, y from pairs union all select y, x from pairs),

@@ -93,3 +93,18 @@ def test_edges(spark):
     assert {(r.doc_id, r.uses) for r in out} == {(3, 1), (7, 1)}
     empty = M.mix_report(M.document_mix(docs(spark, []), target), target).filter(F.col("source") == "a").first()
     assert (empty.actual_share, empty.texts) == (0, 0)
+
+
+def test_the_mix_does_not_depend_on_the_layout_or_the_join(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, t, s, 1, "x", 2) for i, (t, s) in enumerate(corpus(rng))]
+    target = spark.createDataFrame([("big", 0.3, 1), ("mid_size", 0.5, 3), ("small", 0.2, 2)], TARGET)
+    found = []
+    for parts in (1, 6):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(sorted(map(str, M.document_mix(spark.createDataFrame(rows, DOCS).repartition(parts), target).collect())))
+        monkeypatch.setattr(M, "MAX_SENT", 0)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1]
+    assert all(r.kept and not r.twice for r in M.repeats_kept(spark.createDataFrame(rows, DOCS), target).collect())
