@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from figloom.operators.sync import sync, upsert
-from figloom.sources.sinks import _snapshots, publish, published
+from figloom.sources.sinks import expire, is_published, publish, published
 
 
 def deliveries(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 100) -> DataFrame:
@@ -18,8 +18,9 @@ def deliveries(spark: SparkSession, path: str, schema: T.StructType, per_batch:
 def _run(stream: DataFrame, root: str, checkpoint: str, combine) -> None:
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        target = published(spark, root) if _snapshots(spark, root) else spark.createDataFrame([], batch.schema)
+        target = published(spark, root) if is_published(spark, root) else spark.createDataFrame([], batch.schema)
         publish(combine(target, batch), root)
+        expire(spark, root)
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
