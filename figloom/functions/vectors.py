@@ -27,13 +27,19 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
 
 
+def _with(v: Column, value: Column, make) -> Column:
+    """``make(v, value)``, where ``value`` is computed once and not for each element of ``v``: it
+    goes through a list of one struct, whose fields a lambda reads."""
+    once = F.array(F.struct(v.alias("v"), value.alias("x")))
+    return F.get(F.transform(once, lambda s: make(s["v"], s["x"])), F.lit(0))
+
+
 def normalized(v: Column) -> Column:
     """A vector of length one; null for a vector of length zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(doubles(v), lambda x: x / norm))
+    return _with(doubles(v), F.sqrt(dot(v, v)), lambda v, norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)))
 
 
 def softmax(v: Column, scale: float = 1.0) -> Column:
     """Shifted by the largest value, so large scales do not overflow."""
-    shifted = F.transform(v, lambda x: F.exp((x - F.array_max(v)) * F.lit(scale)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    powers = _with(doubles(v), F.array_max(doubles(v)), lambda v, most: F.transform(v, lambda x: F.exp((x - most) * F.lit(scale))))
+    return _with(powers, total(powers), lambda v, s: F.transform(v, lambda x: x / s))
