@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from figloom.functions import text as X
 from figloom.operators import search, sync
+from figloom.operators.release import checks
 from figloom.sources import notes
 
 
@@ -45,16 +46,21 @@ def ingest(raw: DataFrame, venue: Venue) -> DataFrame:
     return sync.first_rows(read(old, 1).unionByName(read(new, 2)), ["platform_id"], [F.col("year")])
 
 
-def contexts(documents: DataFrame, figures: DataFrame, key: str, text: Column, strict: bool = True) -> DataFrame:
-    """(key, figure_number, context): the paragraphs of a paper that refer to each of its figures,
-    tagged and in order. Figures whose number has more than digits find nothing; with ``strict``
-    off their digits count."""
-    paras = documents.select(key, F.posexplode(X.paragraphs(text)).alias("pos", "para")).filter(F.col("para").rlike("(?i)fig"))
+def contexts(documents: DataFrame, figures: DataFrame, key: str, text: Column, strict: bool = True, document: str | None = None) -> DataFrame:
+    """(key, figure_number, context): the paragraphs of a paper's text that refer to each of its
+    figures, tagged and in order. Figures whose number has more than digits find nothing; with
+    ``strict`` off their digits count.
+
+    A paper has one text; where several documents belong to one, ``document`` names their id, and
+    the result has a row for each (key, document, figure_number). So no list is longer than a text.
+    """
+    place = [key] if document is None else [key, document]
+    paras = documents.select(*place, F.posexplode(X.paragraphs(text)).alias("pos", "para")).filter(F.col("para").rlike("(?i)fig"))
     found = paras.filter(X.is_context(F.col("para"))).withColumn("number", F.explode(X.mentioned_figures(F.col("para"))))
     number = F.col("figure_number") if strict else X.figure_key(F.col("figure_number"))
     wanted = figures.select(key, "figure_number", number.alias("number")).distinct()
-    lists = found.join(wanted, [key, "number"]).groupBy(key, "figure_number").agg(F.array_sort(F.collect_set(F.struct("pos", "para"))).alias("v"))
-    return lists.select(key, "figure_number", X.tagged(F.col("v.para")).alias("context"))
+    lists = found.join(wanted, [key, "number"]).groupBy(*place, "figure_number").agg(F.array_sort(F.collect_set(F.struct("pos", "para"))).alias("v"))
+    return lists.select(*place, "figure_number", X.tagged(F.col("v.para")).alias("context"))
 
 
 def retrieve(corpus: DataFrame, key: str, views: dict[str, str], query: dict[str, list[float]], t1: int = 100, t2: int = 10, k: int = 3) -> DataFrame:
@@ -66,6 +72,10 @@ def retrieve(corpus: DataFrame, key: str, views: dict[str, str], query: dict[str
 
 def validate(release: DataFrame, expected_rows: int, vectors: dict[str, int]) -> DataFrame:
     """(check_, expected, actual, ok): rows, unique ids and vectors per index of a release."""
-    counts = release.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids")).first()
-    checks = [("rows", expected_rows, counts["rows"]), ("ids", expected_rows, counts["ids"]), *[(f"vectors of {n}", expected_rows, v) for n, v in vectors.items()]]
-    return release.sparkSession.createDataFrame([(n, e, a, e == a) for n, e, a in checks], "check_ string, expected long, actual long, ok boolean")
+    return checks(release, expected_rows, {n: (expected_rows, v) for n, v in vectors.items()}, {})
+
+
+def download_tasks(papers: DataFrame, base: str, limit: int | None = None) -> DataFrame:
+    """(id, year, decision, url) of the papers whose PDF is to be fetched, the first by id."""
+    tasks = papers.filter("platform_id IS NOT NULL").select(F.col("platform_id").alias("id"), "year", X.slug_or_pending(F.col("decision")).alias("decision"), X.pdf_url(F.col("platform_id"), base).alias("url"))
+    return tasks if limit is None else tasks.orderBy("id").limit(limit)

@@ -43,9 +43,16 @@ def slug_or_pending(c: Column) -> Column:
     return F.coalesce(F.nullif(slug(c), F.lit("")), F.lit("pending_unknown"))
 
 
+#: Words that make a decision an acceptance, how captions and mentions of figures
+#: begin, and the units of sizes.
+ACCEPTING = "accept|spotlight|poster|oral"
+FIGURE = r"(?:Figure|Fig)s?\.?"
+UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
 def is_accepted(c: Column) -> Column:
     """Whether a decision or its slug names an acceptance; a substring is enough."""
-    return or_empty(F.lower(c)).rlike("accept|spotlight|poster|oral")
+    return or_empty(F.lower(c)).rlike(ACCEPTING)
 
 
 def join_list(c: Column) -> Column:
@@ -64,7 +71,7 @@ def preview(c: Column, n: int = 100) -> Column:
 def human_bytes(n: Column) -> Column:
     """A size with a unit, base 1024, two decimals at most as a shortest float; 0 is "0 B"."""
     power = F.when(n >= 1 << 40, 4).when(n >= 1 << 30, 3).when(n >= 1 << 20, 2).when(n >= 1 << 10, 1).otherwise(0)
-    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), power + 1)
+    unit = F.element_at(F.array(*map(F.lit, UNITS)), power + 1)
     return F.when(n == 0, "0 B").otherwise(F.concat(F.round(n / F.pow(F.lit(1024.0), power), 2).cast("string"), F.lit(" "), unit))
 
 
@@ -84,7 +91,7 @@ def paragraphs(c: Column) -> Column:
 
 def is_caption(c: Column) -> Column:
     """Whether a paragraph is the caption of a figure and not text about one."""
-    return c.rlike(r"(?iU)^\s*(?:Figure|Fig)s?\.?\s*\d+\s*[:.]")
+    return c.rlike(rf"(?iU)^\s*{FIGURE}\s*\d+\s*[:.]")
 
 
 def is_context(c: Column, least: int = 20) -> Column:
@@ -98,7 +105,7 @@ def mentioned_figures(c: Column) -> Column:
     Every number counts, so "Figure 3 shows 5 models" gives 3 and 5; "Figure1" gives none. One
     literal pattern finds all keys of a paragraph at once, so figures join by equality.
     """
-    windows = F.regexp_extract_all(c, F.lit(r"(?iUd)\b(?=((?:Figure|Fig)s?\.?.{0,50}\d*))"), F.lit(1))
+    windows = F.regexp_extract_all(c, F.lit(rf"(?iUd)\b(?=({FIGURE}.{{0,50}}\d*))"), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(windows, lambda w: F.regexp_extract_all(w, F.lit(r"(?U)\b\d+"), F.lit(0)))))
 
 
@@ -109,3 +116,20 @@ def tagged(c: Column, tag: str = "paragraph") -> Column:
 
 def data_url(binary: Column, kind: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(binary))
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def padded(*cells: tuple[Column, int]) -> Column:
+    """Cells as a line of a table: filled with blanks on the right up to a width, on the left where
+    the width is negative; longer cells stay whole."""
+    fill = lambda c, w: F.when(F.length(c) >= abs(w), c).otherwise(F.rpad(c, w, " ") if w > 0 else F.lpad(c, -w, " "))
+    return F.concat_ws(" ", *[fill(or_empty(c.cast("string")), w) for c, w in cells])
+
+
+def pdf_url(pid: Column, base: str) -> Column:
+    """Where the PDF of a paper lies."""
+    return F.concat(F.lit(f"{base}/pdf?id="), pid)

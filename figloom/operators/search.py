@@ -247,15 +247,53 @@ def _within(stage: DataFrame, before: str, fetch: int) -> DataFrame:
     return stage.withColumn("size", size).filter(F.col(before) < fetch * F.col("size")).drop("size", "place")
 
 
+#: Classes whose sums a task holds at once.
+CLASSES_HELD = 4096
+
+
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label, prototype): the mean of the normalized vectors of each class, normalized."""
+    """(label, prototype): the mean of the normalized vectors of each class, normalized.
+
+    Every task adds up its vectors class by class; only these sums are shuffled. A null label is a
+    class; null, empty and zero vectors are left out.
+    """
     from figloom.functions.vectors import normalized
 
-    unit = df.select(label, F.posexplode(normalized(F.col(vector))).alias("pos", "x"))
-    mean = unit.groupBy(label, "pos").agg(F.avg("x").alias("x"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch["label"].type
+            codes = batch["label"].dictionary_encode(null_encoding="encode")
+            at, labels = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            vectors = batch["vector"].to_numpy(zero_copy_only=False)
+            sizes = np.array([len(v) for v in vectors])
+            for size in set(sizes.tolist()):
+                mine = np.flatnonzero(sizes == size)
+                v = np.stack(vectors[mine]).astype(np.float64)
+                norm = np.sqrt((v**2).sum(1))
+                mine, v = mine[norm > 0], v[norm > 0] / norm[norm > 0, None]
+                for code in np.unique(at[mine]):
+                    rows = v[at[mine] == code]
+                    total, n = sums.get((labels[code], size), (0.0, 0))
+                    sums[labels[code], size] = total + rows.sum(0), n + len(rows)
+            if len(sums) > CLASSES_HELD:
+                yield _summed(sums, kind)
+                sums = {}
+        if sums:
+            yield _summed(sums, kind)
+
+    rows = df.select(F.col(label).alias("label"), F.col(vector).alias("vector")).filter("size(vector) > 0")
+    parts = rows.mapInArrow(run, f"label {df.schema[label].dataType.simpleString()}, n long, total array<double>")
+    each = parts.select("label", "n", F.posexplode("total").alias("pos", "x")).groupBy("label", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
     # As many values as the vectors have dimensions.
-    listed = mean.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    return listed.select(label, normalized(F.col("v.x")).alias("prototype"))
+    listed = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
+    return listed.select(F.col("label").alias(label), normalized(F.col("v.x")).alias("prototype"))
+
+
+def _summed(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
+    keys = [k for k, _ in sums]
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([n for _, n in sums.values()], pa.int64()), pa.array([t.tolist() for t, _ in sums.values()], pa.list_(pa.float64()))], ["label", "n", "total"])
 
 
 def classify(df: DataFrame, vector: str, classes: DataFrame, label: str, scale: float = 100.0, most: int = 1000) -> DataFrame:

@@ -60,8 +60,23 @@ def update_changed(target: DataFrame, staging: DataFrame, keys: list[str], colum
 
 
 def sync(target: DataFrame, staging: DataFrame, keys: list[str], column: str, pending: str) -> DataFrame:
-    """Insert rows with new keys, then update the changed ones."""
-    return update_changed(insert_missing(target, staging, keys), staging, keys, column, pending)
+    """Insert rows with new keys, then update the changed ones: update_changed after
+    insert_missing, as one full outer join, so each side is shuffled once. Staging keys are unique;
+    a null key matches nothing."""
+    old = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("_old"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
+    here = [c for c in target.columns if c in staging.columns]
+    new = staging.select(F.struct(*[F.col(f"`{c}`") for c in here]).alias("_new"), *[F.col(f"`{k}`").alias(f"_n{i}") for i, k in enumerate(keys)])
+    on = [F.col(f"_k{i}") == F.col(f"_n{i}") for i in range(len(keys))]
+    joined = old.join(new, on, "full")
+    was, fresh = F.col("_old")[column], F.col("_new")[column]
+
+    def value(c: str) -> Column:
+        kept = F.col("_old")[c]
+        if c == column:
+            kept = F.when(differs(was, fresh, pending), fresh).otherwise(was)
+        return F.when(F.col("_old").isNull(), F.col("_new")[c] if c in here else F.lit(None)).otherwise(kept).alias(c)
+
+    return joined.select(*[value(c) for c in target.columns])
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -87,6 +102,14 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
+def union_tables(*tables: DataFrame) -> DataFrame:
+    """Tables of one kind, such as those of several venues, as one; columns that one lacks are null."""
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t, allowMissingColumns=True)
+    return whole
+
+
 def dense_ordinals(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
     """``df`` plus the place of each row, from 0, in a total order.
 

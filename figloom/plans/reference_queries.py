@@ -240,20 +240,19 @@ def sync_papers(t):
 _FIGURE_COLUMNS = "platform_id, figure_number, figure_type, confidence, figure_path, figure_caption, figure_context, loaded_at"
 
 
-@query("select platform_id, figure_number, max(loaded_at) as loaded_at from figures group by 1, 2")
+@query("select platform_id, figure_number, max(loaded_at) as loaded_at, max(struct_pack(at := loaded_at, t := coalesce(figure_type, ''))).t as figure_type from figures group by 1, 2")
 def figures_upsert(t):
     """Late deliveries (the newer half by load time) replace what was there before."""
-    figures = t("figures").select("platform_id", "figure_number", "figure_type", "loaded_at")
+    figures = t("figures").select("platform_id", "figure_number", X.or_empty(F.col("figure_type")).alias("figure_type"), "loaded_at")
     cut = F.lit("2024-01-01").cast("timestamp_ntz")
     late = F.coalesce(F.col("loaded_at") >= cut, F.lit(False))
-    done = sync.upsert(figures.filter(~late), figures.filter(late), ["platform_id", "figure_number"], [F.col("loaded_at")])
-    return done.select("platform_id", "figure_number", "loaded_at")
+    return sync.upsert(figures.filter(~late), figures.filter(late), ["platform_id", "figure_number"], [F.col("loaded_at")])
 
 
-@query("select platform_id, figure_number, min(loaded_at) as loaded_at from figures group by 1, 2")
+@query("select platform_id, figure_number, min(loaded_at) as loaded_at, min(struct_pack(at := loaded_at, t := coalesce(figure_type, ''))).t as figure_type from figures group by 1, 2")
 def first_wins_dedup(t):
-    rows = t("figures").select("platform_id", "figure_number", "loaded_at", "figure_type")
-    return sync.first_rows(rows, ["platform_id", "figure_number"], [F.col("loaded_at")]).select("platform_id", "figure_number", "loaded_at")
+    rows = t("figures").select("platform_id", "figure_number", "loaded_at", X.or_empty(F.col("figure_type")).alias("figure_type"))
+    return sync.first_rows(rows, ["platform_id", "figure_number"], [F.col("loaded_at")])
 
 
 @query("select l_orderkey, l_linenumber, min(l_shipdate) as l_shipdate, min(struct_pack(d := l_shipdate, p := l_partkey)).p as l_partkey from lineitem group by 1, 2")
@@ -274,9 +273,9 @@ def keyed_update_path(t):
     return sync.keyed_update(target, updates, keys, ["figure_path"])
 
 
-@query("select count(*) as rows_reset, count(figure_type) as rows_seen from (select null::varchar as figure_type from figures)")
+@query("select platform_id, figure_number, null::varchar as figure_type, confidence from figures")
 def reset_figure_type(t):
-    return sync.reset_column(t("figures"), "figure_type").agg(F.count("*").alias("rows_reset"), F.count("figure_type").alias("rows_seen"))
+    return sync.reset_column(t("figures").select("platform_id", "figure_number", "figure_type", "confidence"), "figure_type")
 
 
 @query("select platform_id, figure_number, count(*) as copies from figures group by 1, 2 having count(*) > 1")
@@ -323,6 +322,43 @@ def sync_summary(t):
     return _move_plan(t).groupBy("status").agg(F.count("*").alias("papers"))
 
 
+_PENDING_SQL = ORACLE["move_plan"].replace("select a.platform_id, concat", "select a.year, a.platform_id, concat")
+
+
+@query(
+    f"""with m as ({_PENDING_SQL}), there as (select distinct platform_id from figures)
+    select 'papers' as kind, platform_id, source_path, case when status <> 'missing' then target_path end as target_path, case when status = 'moved' and platform_id in (select platform_id from there) then 'exists' else status end as status from m"""
+)
+def asset_moves(t):
+    """Moves of folders; for papers with figures the target is taken to be there already."""
+    from figloom.operators.assets import plan_moves
+
+    papers = t("papers").filter("platform_id IS NOT NULL AND year IS NOT NULL").select("platform_id", F.col("year").cast("string").alias("root"), X.slug(F.col("decision")).alias("slug"))
+    pending = papers.filter("slug = 'pending_unknown'").select(F.lit("papers").alias("kind"), "platform_id", F.lit(None).cast("string").alias("year"), "root").distinct()
+    staging = t("papers_staging")
+    last = staging.agg(F.max("snapshot_no")).first()[0]
+    rows = staging.filter(F.col("snapshot_no") == last).select(F.regexp_replace("platform_id", r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("platform_id"), X.slug_or_pending(F.col("decision")).alias("decision"))
+    wanted = rows.filter("platform_id <> ''").groupBy("platform_id").agg(F.min("decision").alias("decision"))
+    drawn = t("figures").select("platform_id").distinct()
+    existing = pending.join(drawn, "platform_id", "left_semi").join(wanted, "platform_id").select(F.concat_ws("/", "root", "decision", "platform_id").alias("path"))
+    return plan_moves(pending, wanted, existing).select("kind", "platform_id", "source_path", "target_path", "status")
+
+
+@query(r"select platform_id as id, year, regexp_replace(regexp_replace(lower(decision), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as decision, concat('https://papers.example/pdf?id=', platform_id) as url from papers where year = 2024 and decision <> ''")
+def ledger_round_trip(t):
+    """Failed tasks as they come back from a ledger."""
+    from figloom.sources.files import failed_tasks
+    from figloom.sources.sinks import save_failures
+    from figloom.workspace import scratch
+
+    papers = t("papers").filter("year = 2024 OR year = 2023").filter("decision <> ''")
+    status = F.when(F.col("year") == 2024, "failed").otherwise("downloaded")
+    tasks = papers.select(F.col("platform_id").alias("id"), "year", X.slug(F.col("decision")).alias("decision"), X.pdf_url(F.col("platform_id"), "https://papers.example").alias("url"), status.alias("status"))
+    path = scratch(papers.sparkSession, "ledger")
+    save_failures(tasks, path)
+    return failed_tasks(papers.sparkSession, path)
+
+
 # ---------------------------------------------------------------- decisions and reports
 
 
@@ -412,9 +448,9 @@ def count_filtered(t):
 
 @query("select 'year' as field, year::varchar as value from papers union select 'decision', decision from papers union select 'venue', venue from papers")
 def distinct_values(t):
-    p = t("papers")
-    parts = [p.select(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")).distinct() for c in ("year", "decision", "venue")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """One scan: a row for each field, reduced before the shuffle."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in ("year", "decision", "venue")])
+    return t("papers").select(F.inline(fields)).distinct()
 
 
 @query("select " + ", ".join(f"count(*) filter (coalesce({c}, '') = '') as {c}" for c in ("title", "abstract", "keywords", "areas", "tldr", "decision", "bibtex")) + " from papers")
@@ -469,6 +505,34 @@ def release_join(t):
     return papers.join(t("figures"), "platform_id").groupBy("venue").agg(F.count("*").alias("figures"), F.countDistinct("platform_id").alias("papers"))
 
 
+@query(
+    """with p as (select platform_id, arg_max(row(title, venue), loaded_at) as r from papers where platform_id is not null group by 1),
+    f as (select platform_id, figure_number, max(struct_pack(at := loaded_at, p := coalesce(figure_path, ''), c := coalesce(figure_caption, ''))) as r from figures where platform_id is not null and figure_number is not null group by 1, 2),
+    l as (select platform_id, figure_number, max(clip_type) as clip_type from diagram_data group by 1, 2)
+    select row_number() over (order by platform_id, figure_number) - 1 as id, platform_id, figure_number, p.r[2] as venue, md5(coalesce(p.r[1], '')) as title, coalesce(f.r.p, '') as figure_path, md5(f.r.c) as figure_caption, clip_type
+    from p join f using (platform_id) left join l using (platform_id, figure_number)"""
+)
+def release_build(t):
+    """The release from its three tables, by its main columns."""
+    from figloom.operators.release import build_release
+
+    figures = t("figures").withColumns({c: X.or_empty(F.col(c)) for c in ("figure_path", "figure_caption")})
+    labels = t("diagram_data")
+    r = build_release(t("papers"), figures, labels)
+    return r.select("id", "platform_id", "figure_number", "venue", F.md5(X.or_empty(F.col("title"))).alias("title"), "figure_path", F.md5("figure_caption").alias("figure_caption"), "clip_type")
+
+
+@query("select event_type as model, count(*) as calls, sum(input_tokens)::bigint as input_tokens, round(sum(input_tokens * length(event_type) + output_tokens * 2 * length(event_type)) / 1000, 4) as cost from (select event_type, coalesce((props->>'k')::bigint, 0) as input_tokens, user_id % 1000 as output_tokens from events) group by 1")
+def usage_costs(t):
+    """Tokens of calls priced by model: here events, priced by the length of their names."""
+    from figloom.operators.external import usage_costs as costs
+
+    e = t("events").select(F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("long").alias("input_tokens"), (F.col("user_id") % 1000).alias("output_tokens"))
+    prices = e.select("model").distinct().select("model", F.length("model").alias("input"), (2 * F.length("model")).alias("output"))
+    used = costs(e, prices).groupBy("model")
+    return used.agg(F.count("*").alias("calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
 @query("select platform_id, count(*) as figures, min(figure_number) as first, max(figure_number) as last from (select distinct platform_id, figure_number from figures) group by 1")
 def figures_of_papers(t):
     chunks = sync.chunked_lists(t("figures").select("platform_id", "figure_number").distinct(), ["platform_id"], F.col("figure_number"))
@@ -493,11 +557,9 @@ def figures_released(t):
 
 @query("select upper(venue) as venue, count(*) as papers from papers where upper(venue) in ('ICLR', 'ICML', 'NEURIPS', 'TMLR') group by 1")
 def venue_union(t):
-    parts = [t("papers").filter(F.upper("venue") == v).withColumn("venue", F.lit(v)) for v in ("ICLR", "ICML", "NEURIPS", "TMLR")]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p, allowMissingColumns=True)
-    return whole.groupBy("venue").agg(F.count("*").alias("papers"))
+    """The tables of four venues as one; they lie in one table here, so it is scanned once."""
+    known = t("papers").select(F.upper("venue").alias("venue")).filter(F.col("venue").isin("ICLR", "ICML", "NEURIPS", "TMLR"))
+    return known.groupBy("venue").agg(F.count("*").alias("papers"))
 
 
 @query(
@@ -516,10 +578,18 @@ def integrity_report(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("select 'papers' as table_name, column_name, case data_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'BIGINT[]' then 'array<bigint>' else 'timestamp_ntz' end as data_type from (describe select * from papers) d(column_name, data_type, a, b, c, e)")
+_DESCRIBED = ("papers", "papers_staging", "figures", "diagram_data", "documents", "embeddings")
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "FLOAT": "float", "DOUBLE": "double", "BIGINT[]": "array<bigint>", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>", "TIMESTAMP": "timestamp_ntz"}
+
+
+@query(
+    "with types as (select unnest([" + ", ".join(f"'{k}'" for k in _TYPES) + "]) as their, unnest([" + ", ".join(f"'{v}'" for v in _TYPES.values()) + "]) as ours) select table_name, column_name, ours as data_type from ("
+    + " union all ".join(f"select '{n}' as table_name, column_name, data_type from (describe select * from {n}) d(column_name, data_type, a, b, c, e)" for n in _DESCRIBED)
+    + ") left join types on data_type = their"
+)
 def table_columns(t):
-    papers = t("papers")
-    return papers.sparkSession.createDataFrame([("papers", n, k) for n, k in papers.dtypes], "table_name string, column_name string, data_type string")
+    rows = [(n, c, kind) for n in _DESCRIBED for c, kind in t(n).dtypes]
+    return t("papers").sparkSession.createDataFrame(rows, "table_name string, column_name string, data_type string")
 
 
 # ---------------------------------------------------------------- text and figure context
@@ -627,25 +697,40 @@ def figure_paths(t):
 
 @query("select event_type as key, round(sum(value), 4) as total, count(*) as entries from events group by 1")
 def usage_merge(t):
-    """Two ledgers merged key by key: the events of even and of odd users."""
-    e = t("events").select(F.col("event_type").alias("key"), "value", "user_id")
-    ledgers = [e.filter(F.col("user_id") % 2 == k).groupBy("key").agg(F.sum("value").alias("v"), F.count("*").alias("n")) for k in (0, 1)]
-    rest = e.filter("user_id IS NULL").groupBy("key").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    merged = ledgers[0].unionByName(ledgers[1]).unionByName(rest)
-    return merged.groupBy("key").agg(F.round(F.sum("v"), 4).alias("total"), F.sum("n").alias("entries"))
+    """Ledgers merged key by key: the events of each day are one, added up before they are merged."""
+    ledgers = t("events").groupBy(F.col("event_type").alias("key"), F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    return ledgers.groupBy("key").agg(F.round(F.sum("v"), 4).alias("total"), F.sum("n").alias("entries"))
+
+
+_FILES = (
+    "SHA256SUMS", "data.jsonl", "README.md", "data/faiss_complete.tar.gz", "data/2024/accept_poster.tar.gz", "data/2024/reject.tar.gz", "data/2025/accept_oral.tar.gz",
+    "data/2025/pending_unknown.tar.gz", "data/notes.txt", "data/a_research_db.tar.gz", "b_research_db.tar.gz", "reproduce/a_metadata.tar.gz", "reproduce/run.py", "other/b_metadata.tar.gz",
+)
+_WAYS = (("accept", True, False), ("reject", False, True), ("all", True, True), ("none", True, False))
 
 
-@query("select s, count(*) as files from (select unnest(['core/a.json', 'images/x_accept_oral.tar', 'images/x_reject.tar', 'metadata.zip', 'images/y_poster.tar']) as f) cross join (select unnest(['all', 'accept', 'reject', 'other']) as s) where not starts_with(f, 'images/') or s = 'all' or (s = 'accept' and regexp_matches(f, 'accept|spotlight|poster|oral')) or (s = 'reject' and not regexp_matches(f, 'accept|spotlight|poster|oral')) group by 1")
+@query(
+    f"""with f as (select unnest({list(_FILES)}) as f, unnest(range({len(_FILES)})) as n),
+    p as (select *, case when f in ('data.jsonl', 'SHA256SUMS', 'data/faiss_complete.tar.gz') or ends_with(f, '_research_db.tar.gz') then 0 when starts_with(f, 'data/') and ends_with(f, '.tar.gz') then 1
+        when starts_with(f, 'reproduce/') and ends_with(f, '_metadata.tar.gz') then 2 end as part, regexp_matches(f, 'accept|spotlight|poster|oral') as yes from f),
+    w as (select unnest({[w[0] for w in _WAYS]}) as subset, unnest({[w[1] for w in _WAYS]}) as core, unnest({[w[2] for w in _WAYS]}) as metadata)
+    select subset, (row_number() over (partition by subset order by part, n) - 1)::int as place, f as file from p cross join w
+    where (part = 0 and core) or (part = 1 and (subset = 'all' or (subset = 'accept' and yes) or (subset = 'reject' and not yes))) or (part = 2 and metadata)"""
+)
 def file_selection(t):
-    spark = t("region").sparkSession
-    files = spark.createDataFrame([(f,) for f in ("core/a.json", "images/x_accept_oral.tar", "images/x_reject.tar", "metadata.zip", "images/y_poster.tar")], "f string")
+    """The files of four ways of asking, in the order in which they would be fetched."""
     from figloom.sources.files import select_files
 
-    parts = [select_files(files, F.col("f"), s).select(F.lit(s).alias("s")) for s in ("all", "accept", "reject", "other")]
+    spark = t("region").sparkSession
+    names = spark.createDataFrame([(f, n) for n, f in enumerate(_FILES)], "file string, n int")
+    parts = []
+    for subset, core, metadata in _WAYS:
+        ordered = select_files(names, "file", "n", subset, core, metadata).agg(F.collect_list("file").alias("files"))
+        parts.append(ordered.select(F.lit(subset).alias("subset"), F.posexplode("files").alias("place", "file")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.groupBy("s").agg(F.count("*").alias("files"))
+    return whole
 
 
 _VOTE = "(coalesce(lower(trim({c})), '') = 'diagram')::int"

@@ -120,11 +120,45 @@ def invitations(spark: SparkSession, years: list[int], suffixes: list[str], temp
     return spark.createDataFrame(names, "year long, invitation string").repartition(8).mapInArrow(run, "year long, invitation string")
 
 
+def note_by_id(notes: DataFrame, note_id: str) -> DataFrame:
+    """The notes with an id."""
+    return notes.filter(F.get_json_object("note", "$.id") == note_id)
+
+
+#: What the kinds of invitations are called, and the decision that some imply.
+_OPEN, _BLIND = ("Submission", None), ("Blind_Submission", None)
+_WITHDRAWN, _DESK = ("Withdrawn_Submission", "withdrawn"), ("Desk_Rejected_Submission", "desk reject")
+#: Which invitations a venue has in which years.
+SOURCES = {
+    "ICLR": {2017: [("submission", None)], **{y: [_WITHDRAWN, _DESK, _BLIND if y < 2024 else _OPEN] for y in range(2018, 2027)}},
+    "ICML": {2023: [_OPEN], 2024: [_WITHDRAWN, _OPEN], 2025: [_DESK, _OPEN]},
+    "NeurIPS": {2021: [_BLIND], 2022: [_BLIND], 2024: [_WITHDRAWN, _DESK, _OPEN], 2025: [_WITHDRAWN, _DESK, _OPEN]},
+}
+
+
+def source_map(spark: SparkSession, venue: str) -> DataFrame:
+    """(year, source_order, invitation, default_decision) of a venue; year is null where notes of
+    all years lie under one invitation."""
+    if venue not in SOURCES:
+        rows = [(None, 0, f"{venue}/-/Submission", None)]
+    else:
+        group = lambda year: "conference" if venue == "ICLR" and year == 2017 else "Conference"
+        listed = [(year, f"{venue}.cc/{year}/{group(year)}/-/{kind}", said) for year, kinds in sorted(SOURCES[venue].items()) for kind, said in kinds]
+        rows = [(year, n, invitation, said) for n, (year, invitation, said) in enumerate(listed)]
+    return spark.createDataFrame(rows, "year long, source_order int, invitation string, default_decision string")
+
+
+def with_sources(notes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``notes`` (invitation, pos, note) with what ``normalized`` needs to know of their source."""
+    return notes.join(F.broadcast(sources), "invitation").select("note", "year", "default_decision", "source_order", "pos")
+
+
 class NoteSource(DataSource):
     """``spark.read.format("notes")``: notes of invitations, one partition each.
 
     Options: invitations (comma-separated), limit, and fetch, the "module:function" that gives
-    the notes of (invitation, limit) as JSON texts; it retries as it sees fit.
+    the notes of (invitation, limit) as JSON texts. A failing fetch is called again up to tries
+    (10) times, pause (60) seconds apart; then the scan fails.
     """
 
     @classmethod
@@ -151,7 +185,12 @@ class _NoteReader(DataSourceReader):
         module, function = self.options["fetch"].split(":")
         fetch = getattr(importlib.import_module(module), function)
         limit = int(self.options.get("limit", 0)) or None
-        for pos, note in enumerate(fetch(partition.value, limit)):
+        from figloom.operators.external import retried
+
+        seconds = float(self.options.get("pause", 60))
+        # Listed inside the try, as a fetch may fail half-way; the notes of an invitation fit a task.
+        found = retried(lambda: list(fetch(partition.value, limit)), int(self.options.get("tries", 10)), lambda n: seconds)
+        for pos, note in enumerate(found):
             if limit and pos >= limit:
                 break
             yield partition.value, pos, note

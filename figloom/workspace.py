@@ -6,20 +6,32 @@ Lineage is cut by writing a table into the shared folder that the cluster names
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets a local one if the session names none."""
+    """The shared folder of the session; sets a local one if the session names none.
+
+    On a cluster a local folder would be another one on every machine, so there it is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="figloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
@@ -32,13 +44,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     read from it is fixed: row numbers derived from it stay the same in every re-run task.
     """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._figloom_path = path
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path among the written tables, for what is not written by ``materialize``."""
+    return f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/figloom/{spark.sparkContext.applicationId}"
 
@@ -72,10 +89,6 @@ def ship(spark: SparkSession) -> None:
 
     Spark's file server copies the archive to every executor, late ones included.
     """
-    import os
-    import zipfile
-    from pathlib import Path
-
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -85,4 +98,6 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     spark.sparkContext.addPyFile(archive)
+    # The file server reads it until the application ends.
+    atexit.register(Path(archive).unlink, missing_ok=True)
     _shipped.add(app)

@@ -21,15 +21,26 @@ def test_jsonl_round_trip_keeps_nulls(spark, tmp_path):
         files.jsonl(spark, str(tmp_path / "bad.jsonl"), schemas.PAPERS).collect()
 
 
+TASKS = "id string, year long, decision string, url string, status string, output_dir string"
+
+
 def test_ledger(spark, tmp_path):
     path = str(tmp_path / "failed")
     assert files.failed_tasks(spark, path) is None
-    tasks = spark.createDataFrame([("a", 2024, "reject", "u", "failed"), ("b", 2024, "reject", "u", "downloaded")], "id string, year long, decision string, url string, status string")
-    sinks.save_failures(tasks, path)
-    assert [r.id for r in files.failed_tasks(spark, path).collect()] == ["a"]
+    tasks = spark.createDataFrame([(f"p{i}", 2024, "reject", None if i == 3 else "u", "failed" if i % 5 else "downloaded", "/x") for i in range(500)], TASKS)
+    sinks.save_failures(tasks.repartition(7), path)
+    assert len(list((tmp_path / "failed").glob("part-*"))) > 1
+    back = files.failed_tasks(spark, path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tasks.filter("status = 'failed'").drop("status", "output_dir").collect()))
+    assert back.count() == 400 and back.schema == schemas.DOWNLOAD_TASKS
     assert files.failed_tasks(spark, path, ignore=True) is None
-    sinks.save_failures(tasks.filter("id = 'b'"), path)
+    # The next run tries what failed before, and writes what fails again.
+    sinks.save_failures(back.withColumn("status", F.when(F.col("id") < "p3", "failed").otherwise("skipped")), path)
+    assert {r.id for r in files.failed_tasks(spark, path).collect()} == {f"p{i}" for i in range(500) if i % 5 and f"p{i}" < "p3"}
+    sinks.save_failures(tasks.filter("status <> 'failed'"), path)
     assert files.failed_tasks(spark, path) is None
+    (tmp_path / "foreign.json").write_text(json.dumps([{"id": "a", "year": 2026, "decision": "d", "url": "u"}, {"id": "b", "year": None, "decision": None, "url": "u"}], indent=2))
+    assert {r.id for r in files.failed_tasks(spark, str(tmp_path / "foreign.json"), foreign=True).collect()} == {"a", "b"}
 
 
 def test_extracted_figures_skip_broken_files(spark, tmp_path):
@@ -64,11 +75,13 @@ def test_index_headers(spark, tmp_path):
 def test_json_map_and_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("b", "u3"), (None, "x")], "id string, url string")
     sinks.to_json_map(df, F.col("id"), F.col("url"), str(tmp_path / "map"))
-    merged = {}
-    for p in (tmp_path / "map").glob("part-*"):
-        for line in p.read_text().splitlines():
-            merged |= json.loads(line)
-    assert merged == {"a": "u1", "b": "u3"}
+    whole = lambda p: json.loads("".join(f.read_text() for f in sorted((tmp_path / p).glob("part-*"))))
+    assert whole("map") == {"a": "u1", "b": "u3"}
+    many = spark.createDataFrame([(f"k{i}", [i, None]) for i in range(300)], "id string, v array<int>").repartition(5)
+    sinks.to_json_map(many, F.col("id"), F.col("v"), str(tmp_path / "many"))
+    assert whole("many") == {f"k{i}": [i, None] for i in range(300)}
+    sinks.to_json_map(many.limit(0), F.col("id"), F.col("v"), str(tmp_path / "none"))
+    assert whole("none") == {}
     for name in ("t_one", "t_two"):
         sinks.drop(spark, name)
     sinks.create_if_missing(df, "t_one")
@@ -92,6 +105,78 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert sinks.published(spark, root).count() == 5
 
 
+def test_a_writer_that_dies_between_steps_publishes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "snap")
+    dies = lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)
+    # The very first snapshot is whole but not yet pointed to.
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "replace_file", dies)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.publish(spark.range(10).toDF("id"), root)
+    assert not sinks.is_published(spark, root)
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, root)
+    sinks.publish(spark.range(5).toDF("id"), root)
+    # Half a snapshot with a higher number, and a pointer that was being written.
+    half = tmp_path / "snap" / "00000009"
+    spark.range(4).toDF("id").write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    (tmp_path / "snap" / "_current.abc").write_text("00000009")
+    assert sinks.published(spark, root).count() == 5
+    assert sinks.publish(spark.range(6).toDF("id"), root).endswith("00000010")
+    assert sinks.published(spark, root).count() == 6
+    # A pointer to what is not whole is refused.
+    sinks.replace_file(spark, "00000009", root + "/_current")
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, root)
+    sinks.replace_file(spark, "00000010", root + "/_current")
+    assert sinks.expire(spark, root, keep=1) and sinks.published(spark, root).count() == 6
+    assert [p.name for p in (tmp_path / "snap").iterdir() if p.name.isdigit()] == ["00000010"]
+
+
+def test_usage_and_prompts(spark, tmp_path):
+    path = str(tmp_path / "usage.json")
+    assert sinks.read_usage(spark, path) == {}
+    sinks.save_usage(spark.createDataFrame([("cost", 0.5), ("tokens", 3.0), ("cost", 0.25)], "key string, amount double"), path)
+    sinks.save_usage(spark.createDataFrame([("cost", 1.0), ("calls", 1.0)], "key string, amount double"), path)
+    assert sinks.read_usage(spark, path) == {"cost": 1.75, "tokens": 3.0, "calls": 1.0}
+    prompts = spark.createDataFrame([(1, [("text", "a"), ("image", "data:x")])], "id int, parts array<struct<kind: string, text: string>>")
+    sinks.save_prompts(prompts, "id", "parts", str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).first().prompt == "a\n[IMAGE: 6 characters]"
+
+
+def test_release_files_in_order(spark):
+    names = ["reproduce/a_metadata.tar.gz", "data/x_accept.tar.gz", "data.jsonl", "data/temporal.tar.gz", "data/reject.tar.gz", "c_research_db.tar.gz", "data/faiss_complete.tar.gz", "README.md", "SHA256SUMS"]
+    df = spark.createDataFrame([(f, n, "x") for n, f in enumerate(names)], "f string, n int, name string")
+    pick = lambda *a, **k: [r.f for r in files.select_files(df, "f", "n", *a, **k).collect()]
+    core = ["data.jsonl", "c_research_db.tar.gz", "data/faiss_complete.tar.gz", "SHA256SUMS"]
+    assert pick() == [*core, "data/x_accept.tar.gz", "data/temporal.tar.gz"]
+    assert pick("reject", core=False) == ["data/reject.tar.gz"]
+    assert pick("all", metadata=True) == [*core, "data/x_accept.tar.gz", "data/temporal.tar.gz", "data/reject.tar.gz", "reproduce/a_metadata.tar.gz"]
+    assert pick("none") == core and pick("all", metadata_only=True) == ["reproduce/a_metadata.tar.gz"]
+
+
+def test_archives_and_pictures(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name, data in (("x/Figure1.png", b"one"), ("x/Figure2.png", b"")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    (tmp_path / "b.tar.gz").write_bytes(b"no archive")
+    got = {r.member: bytes(r.content) for r in files.unpacked(spark, str(tmp_path)).collect()}
+    assert got == {"x/Figure1.png": b"one", "x/Figure2.png": b""}
+    for n in (1, 2):
+        (tmp_path / f"{n}.png").write_bytes(b"p" * n)
+    decode = lambda b: b * 2 if len(b) > 1 else 1 / 0
+    assert [bytes(r.content) for r in files.images(spark, str(tmp_path), decode).collect()] == [b"pppp"]
+    folders = spark.createDataFrame([("good",), ("bad",)], "folder string")
+    extract = lambda f: None if f == "good" else 1 / 0
+    assert {r.folder: r.status for r in files.extracted(folders, "folder", extract).collect()} == {"good": "extracted", "bad": "failed"}
+
+
 def test_vector_index(spark, tmp_path):
     df = spark.createDataFrame([(1, "ab", None), (2, "abc", "x")], "id long, title string, abstract string")
     sinks.save_vectors(df, "id", {"title": "title", "abstract": "abstract"}, lambda texts: [[len(t), 1.0] for t in texts], str(tmp_path))
