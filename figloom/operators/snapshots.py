@@ -4,18 +4,25 @@ Method: every key gets a persistent ordinal; a snapshot is then, per chunk of or
 compressed bitmap of the keys present and a vector of values aligned with the set bits.
 AND-NOT of consecutive bitmaps gives additions and removals, AND gives the common keys whose
 aligned values are compared.
+
+Dictionary and containers are kept under a folder. A new snapshot is compared with the containers
+of the one before, so no row of an older snapshot is read again. What a folder holds is said by its
+manifest, which is renamed into place after the data is whole.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from figloom.functions.text import drop_blanks, strip_blanks
-from figloom.workspace import materialize
+from figloom.workspace import materialize, scratch
 
 #: Ordinals of one chunk share all but the low CHUNK_BITS bits.
 CHUNK_BITS = 14
@@ -40,21 +47,44 @@ def compress(low: np.ndarray) -> bytes:
     return bytes([ARRAY_KIND]) + low.astype("<u2").tobytes()
 
 
-def bits_of(container: bytes | None) -> np.ndarray:
-    """A container as CHUNK booleans; None is the empty one."""
-    bits = np.zeros(CHUNK, dtype=bool)
+def members(container: bytes | None) -> np.ndarray:
+    """The ordinals of a container, rising; None is the empty one."""
     if not container:
-        return bits
-    kind, body = container[0], container[1:]
+        return np.zeros(0, dtype=np.int64)
+    kind, body = container[0], np.frombuffer(container, dtype=np.uint8, offset=1)
     if kind == BITMAP_KIND:
-        return np.unpackbits(np.frombuffer(body, dtype=np.uint8)).astype(bool)
-    values = np.frombuffer(body, dtype="<u2").astype(np.int64)
-    if kind == RUN_KIND:
-        for start, more in values.reshape(-1, 2):
-            bits[start : start + more + 1] = True
-    else:
-        bits[values] = True
-    return bits
+        return np.flatnonzero(np.unpackbits(body))
+    values = body.view("<u2").astype(np.int64)
+    if kind == ARRAY_KIND:
+        return values
+    start, more = values.reshape(-1, 2).T
+    ends = np.cumsum(more + 1)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - more - 1), more + 1)
+
+
+def contains(container: bytes | None, values: np.ndarray) -> np.ndarray:
+    """Which of some ordinals are in a container."""
+    if not container or len(container) == 1:
+        return np.zeros(len(values), dtype=bool)
+    kind, body = container[0], np.frombuffer(container, dtype=np.uint8, offset=1)
+    if kind == BITMAP_KIND:
+        return (body[values >> 3] >> (7 - (values & 7)) & 1).astype(bool)
+    known = body.view("<u2").astype(np.int64)
+    if kind == ARRAY_KIND:
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return known[at] == values
+    start, more = known.reshape(-1, 2).T
+    at = np.searchsorted(start, values, side="right") - 1
+    return (at >= 0) & (values <= (start + more)[np.maximum(at, 0)])
+
+
+def and_not(a: bytes | None, b: bytes | None) -> np.ndarray:
+    """The ordinals in ``a`` and not in ``b``."""
+    if a and b and a[0] == b[0] == BITMAP_KIND:
+        one, other = (np.frombuffer(x, dtype=np.uint8, offset=1) for x in (a, b))
+        return np.flatnonzero(np.unpackbits(one & ~other))
+    mine = members(a)
+    return mine[~contains(b, mine)]
 
 
 def latest_per_snapshot(df: DataFrame, key: Column, snapshot: Column, value: Column, loaded_at: Column) -> DataFrame:
@@ -69,18 +99,26 @@ def latest_per_snapshot(df: DataFrame, key: Column, snapshot: Column, value: Col
     return valid.select("key", "snapshot_no", F.col("row.value").alias("value"))
 
 
-def assign_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def short_value(c: Column) -> Column:
+    """Values of 64 letters or more as their digest, which is as long, so that a chunk of them is
+    bounded; equal if and only if the values are."""
+    return F.when(F.length(c) < 64, c).otherwise(F.sha2(c, 256))
+
+
+def assign_ordinals(keys: DataFrame, dictionary: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """Give every row of ``keys`` (column key, distinct) a dense ordinal; known keys keep theirs.
 
     ``dictionary`` (key, ordinal) comes from an earlier run. New keys are numbered after its
-    largest ordinal: each partition of a written table numbers its own rows and starts where the
+    ``largest`` ordinal (looked up if not given): each partition of a written table numbers its own rows and starts where the
     partitions before it end, so no task sees more than its share. Returns keys plus ordinal.
     """
     if dictionary is not None:
-        known = keys.join(dictionary.select("key", "ordinal"), "key", "left")
+        known = materialize(keys.join(dictionary.select("key", "ordinal"), "key", "left"), "known-keys")
         old = known.filter("ordinal IS NOT NULL")
         fresh = known.filter("ordinal IS NULL").drop("ordinal")
-        base = dictionary.agg(F.coalesce(F.max("ordinal"), F.lit(-1))).first()[0] + 1
+        if largest is None:
+            largest = dictionary.agg(F.coalesce(F.max("ordinal"), F.lit(-1))).first()[0]
+        base = largest + 1
     else:
         old, fresh, base = None, keys, 0
     numbered = materialize(fresh.withColumn("row_id", F.monotonically_increasing_id()), "ordinals")
@@ -92,40 +130,128 @@ def assign_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> Dat
     return fresh if old is None else old.unionByName(fresh.select(old.columns))
 
 
+#: A row of the state: of a snapshot's chunk bits and values, or (without a number) the keys of
+#: ordinals that were new, from ``first`` on.
+_STATE = "chunk long, snapshot_no long, first int, bits binary, `values` array<string>, keys array<string>"
+_STATE_ARROW = pa.schema([("chunk", pa.int64()), ("snapshot_no", pa.int64()), ("first", pa.int32()), ("bits", pa.binary()), ("values", pa.list_(pa.string())), ("keys", pa.list_(pa.string()))])
 _CHANGES = "snapshot_no long, key string, change_kind string"
+_NOTHING = {"snapshots": [], "parts": [], "keys": 0}
+
+
+def _encode_chunk(chunk: pa.Table) -> pa.Table:
+    """The state rows of a chunk's keys; at most CHUNK of them by construction of its number."""
+    low = chunk["ordinal"].to_numpy() & (CHUNK - 1)
+    order = np.argsort(low)
+    chunk, low = chunk.take(pa.array(order)), low[order]
+    no = chunk["chunk"][0].as_py()
+    numbers, values = chunk["numbers"].combine_chunks(), chunk["values"].combine_chunks()
+    owner, number, value = np.repeat(low, numbers.value_lengths().to_numpy()), numbers.flatten().to_numpy(), values.flatten()
+    rows = []
+    for n in np.unique(number):
+        mine = np.flatnonzero(number == n)
+        rows.append({"chunk": no, "snapshot_no": int(n), "first": None, "bits": compress(owner[mine]), "values": value.take(pa.array(mine)).to_pylist(), "keys": None})
+    fresh = np.flatnonzero(chunk["fresh"].to_numpy(zero_copy_only=False))
+    if len(fresh):
+        rows.append({"chunk": no, "snapshot_no": None, "first": int(low[fresh[0]]), "bits": None, "values": None, "keys": chunk["key"].take(pa.array(fresh)).to_pylist()})
+    return pa.Table.from_pylist(rows, _STATE_ARROW)
 
 
-def _diff_chunk(snapshots: list[int]):
-    def run(chunk: pa.Table) -> pa.Table:
-        # At most CHUNK keys by construction of the chunk number.
-        low = chunk["ordinal"].to_numpy() & (CHUNK - 1)
-        names = np.empty(CHUNK, dtype=object)
-        names[low] = chunk["key"].to_pylist()
-        numbers, values = chunk["numbers"].combine_chunks(), chunk["values"].combine_chunks()
-        owner = np.repeat(low, numbers.value_lengths().to_numpy())
-        number = numbers.flatten().to_numpy()
-        codes = values.flatten().dictionary_encode().indices.fill_null(-1).to_numpy()
-        vectors: dict[int, tuple[bytes, np.ndarray]] = {}
-        for no in snapshots:
-            mine = number == no
-            order = np.argsort(owner[mine], kind="stable")
-            vectors[no] = compress(owner[mine][order]), codes[mine][order]
-        at, keys, kinds = [], [], []
-        for before, after in zip(snapshots, snapshots[1:]):
-            old, new = bits_of(vectors[before][0]), bits_of(vectors[after][0])
-            both = old & new
-            # The vectors hold one code per set bit; the rank of a bit is its place in them.
-            a, b = vectors[before][1][both[old]], vectors[after][1][both[new]]
-            for bits, kind in ((np.flatnonzero(new & ~old), "added"), (np.flatnonzero(old & ~new), "removed"), (np.flatnonzero(both)[a != b], "changed")):
-                at += [after] * len(bits)
-                keys += names[bits].tolist()
-                kinds += [kind] * len(bits)
-        return pa.table([pa.array(at, pa.int64()), pa.array(keys, pa.string()), pa.array(kinds, pa.string())], ["snapshot_no", "key", "change_kind"])
-
-    return run
-
-
-def snapshot_changes(df: DataFrame, key: Column, snapshot: Column, value: Column, loaded_at: Column, dictionary: DataFrame | None = None) -> DataFrame:
+def _manifest(spark: SparkSession, root: str) -> dict:
+    from figloom.sources import files, sinks
+
+    path = f"{root}/_manifest"
+    return json.loads(sinks.read_file(spark, path)) if files.exists(spark, path) else dict(_NOTHING)
+
+
+def _state(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema(_STATE).parquet(*paths) if paths else spark.createDataFrame([], _STATE)
+
+
+def dictionary(spark: SparkSession, root: str) -> DataFrame:
+    """(key, ordinal) of every key that any snapshot under ``root`` has had."""
+    parts = _state(spark, _manifest(spark, root)["parts"]).filter("snapshot_no IS NULL")
+    keys = parts.select("chunk", "first", F.posexplode("keys").alias("n", "key"))
+    return keys.select("key", (F.shiftleft("chunk", CHUNK_BITS) + F.col("first") + F.col("n")).alias("ordinal"))
+
+
+def add_snapshots(df: DataFrame, root: str, key: Column, snapshot: Column, value: Column, loaded_at: Column) -> list[int]:
+    """Add the snapshots in ``df`` to the state under ``root``; returns their numbers, rising.
+
+    Known keys keep their ordinals, new ones are numbered after them. Numbers must be larger than
+    those of snapshots already there. An attempt that fails leaves the state as it was. One writer
+    at a time. Nulls, ties and repeated rows: see snapshot_changes.
+    """
+    from figloom.sources import sinks
+
+    spark = df.sparkSession
+    numbers = sorted(r[0] for r in df.select(snapshot.cast("long").alias("n")).filter("n IS NOT NULL").distinct().collect())
+    held = _manifest(spark, root)
+    if not numbers:
+        return []
+    if held["snapshots"] and numbers[0] <= held["snapshots"][-1]:
+        raise ValueError(f"snapshot {numbers[0]} is not later than {held['snapshots'][-1]}")
+    valid = latest_per_snapshot(df, key, snapshot.cast("long"), short_value(value.cast("string")), loaded_at)
+    # One row per key; its list is bounded by the number of snapshots.
+    keyed = valid.groupBy("key").agg(F.collect_list(F.struct("snapshot_no", "value")).alias("s"))
+    keyed = keyed.select("key", F.col("s.snapshot_no").alias("numbers"), F.col("s.value").alias("values"))
+    ordered = assign_ordinals(keyed, dictionary(spark, root) if held["keys"] else None, held["keys"] - 1)
+    chunked = ordered.withColumns({"chunk": F.shiftright("ordinal", CHUNK_BITS), "fresh": F.col("ordinal") >= held["keys"]})
+    path = f"{root}/part-{uuid.uuid4().hex}"
+    chunked.groupBy("chunk").applyInArrow(_encode_chunk, _STATE).write.parquet(path)
+    fresh = _state(spark, [path]).filter("snapshot_no IS NULL").agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    sinks.replace_file(spark, json.dumps({"snapshots": held["snapshots"] + numbers, "parts": [*held["parts"], path], "keys": held["keys"] + fresh}), f"{root}/_manifest")
+    return numbers
+
+
+_DIFFERENCES = "snapshot_no long, chunk long, change_kind string, lows array<int>"
+
+
+def _differences(group: pa.Table) -> pa.Table:
+    """The ordinals that changed between two containers of a chunk: at most one row a side."""
+    side = dict(zip(group["later"].to_pylist(), range(group.num_rows)))
+    bits = {k: group["bits"][i].as_py() for k, i in side.items()}
+    old, new = bits.get(False), bits.get(True)
+    found = {"added": and_not(new, old), "removed": and_not(old, new)}
+    both = members(old)[contains(new, members(old))]
+    if len(both):
+        # The vectors hold one value per set bit; the rank of a bit is its place in them.
+        a, b = (group["values"][side[k]].values.take(pa.array(np.searchsorted(members(bits[k]), both))) for k in (False, True))
+        codes = pa.concat_arrays([a, b]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        found["changed"] = both[codes[: len(both)] != codes[len(both) :]]
+    at, chunk = group["snapshot_no"][0].as_py(), group["chunk"][0].as_py()
+    rows = [{"snapshot_no": at, "chunk": chunk, "change_kind": k, "lows": lows.tolist()} for k, lows in found.items() if len(lows)]
+    return pa.Table.from_pylist(rows, pa.schema([("snapshot_no", pa.int64()), ("chunk", pa.int64()), ("change_kind", pa.string()), ("lows", pa.list_(pa.int32()))]))
+
+
+def changes_between(spark: SparkSession, root: str, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(snapshot_no, key, change_kind) for each (before, after) of the snapshots under ``root``.
+
+    Only containers of the snapshots named are read, and the keys of chunks in which something
+    changed. snapshot_no is the later one.
+    """
+    if not pairs:
+        return spark.createDataFrame([], _CHANGES)
+    state = _state(spark, _manifest(spark, root)["parts"])
+    wanted = spark.createDataFrame([(n, after, later) for before, after in pairs for n, later in ((before, False), (after, True))], "snapshot_no long, after long, later boolean")
+    # Two short rows a pair of deliveries.
+    sides = state.filter(F.col("snapshot_no").isin(sorted({n for pair in pairs for n in pair}))).join(F.broadcast(wanted), "snapshot_no")
+    sides = sides.select(F.col("after").alias("snapshot_no"), "chunk", "later", "bits", "values")
+    changed = sides.groupBy("snapshot_no", "chunk").applyInArrow(_differences, _DIFFERENCES)
+    keys = state.filter("snapshot_no IS NULL").select("chunk", "first", "keys")
+    named = changed.join(keys, "chunk").withColumn("lows", F.expr("filter(lows, x -> x >= first AND x < first + size(keys))"))
+    return named.select("snapshot_no", "change_kind", F.explode(F.expr("transform(lows, x -> keys[x - first])")).alias("key")).select("snapshot_no", "key", "change_kind")
+
+
+def advance(df: DataFrame, root: str, key: Column, snapshot: Column, value: Column, loaded_at: Column) -> DataFrame:
+    """Add the snapshots in ``df``, the new ones only, and tell what they changed against the ones
+    before, the last one already under ``root`` included."""
+    spark = df.sparkSession
+    before = _manifest(spark, root)["snapshots"][-1:]
+    line = before + add_snapshots(df, root, key, snapshot, value, loaded_at)
+    return changes_between(spark, root, list(zip(line, line[1:])))
+
+
+def snapshot_changes(df: DataFrame, key: Column, snapshot: Column, value: Column, loaded_at: Column, root: str | None = None) -> DataFrame:
     """(snapshot_no, key, change_kind): one row per change against the snapshot before.
 
     The snapshot before is the one with the next smaller number that has any row, keyless rows
@@ -133,18 +259,10 @@ def snapshot_changes(df: DataFrame, key: Column, snapshot: Column, value: Column
     keys reports all keys of the one before as removed; an empty table or a single snapshot
     gives no rows. Repeated rows: see latest_per_snapshot. Other columns are not read.
 
-    The list of snapshot numbers is the only thing collected: one number per delivery.
+    The state is kept under ``root``, to which later snapshots are added by ``advance``; without it
+    under a folder of the session. The list of snapshot numbers is the only thing collected.
     """
-    numbers = sorted(r[0] for r in df.select(snapshot.cast("long").alias("n")).filter("n IS NOT NULL").distinct().collect())
-    spark = df.sparkSession
-    if len(numbers) < 2:
-        return spark.createDataFrame([], _CHANGES)
-    valid = latest_per_snapshot(df, key, snapshot.cast("long"), value, loaded_at)
-    # One row per key; its list is bounded by the number of snapshots.
-    keyed = valid.groupBy("key").agg(F.collect_list(F.struct("snapshot_no", "value")).alias("s"))
-    keyed = keyed.select("key", F.col("s.snapshot_no").alias("numbers"), F.col("s.value").alias("values"))
-    chunked = assign_ordinals(keyed, dictionary).withColumn("chunk", F.shiftright("ordinal", CHUNK_BITS))
-    return chunked.groupBy("chunk").applyInArrow(_diff_chunk(numbers), _CHANGES)
+    return advance(df, root or scratch(df.sparkSession, "snapshots"), key, snapshot, value, loaded_at)
 
 
 def decision_value(c: Column) -> Column:
