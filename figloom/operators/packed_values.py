@@ -4,8 +4,8 @@ Method: minimum description length. A dialect says which characters separate val
 which quotation marks protect them. Every field is parsed in every dialect; the cost of a
 parse is the code length of its dialect, its marks and its values, where the code of a value
 is as long as its share among the values of all fields makes it. Those shares are counted
-over the whole table, first from the cheapest parses by length alone, then from the parses
-so chosen. Each field is finally parsed in its cheapest dialect.
+once over the whole table, from the parses that are cheapest when every value is spelled out.
+Each field is then parsed in the dialect that is cheapest with these shares.
 """
 
 from __future__ import annotations
@@ -162,11 +162,12 @@ def _content(quoted: str, close: str) -> str:
 
 def dialects_for(field: str) -> list[Dialect]:
     """The dialects whose separators occur in the field: none, each one, and every set of several,
-    larger ones first; sets of several protect quotations."""
+    larger ones first; each with and, where there are quotation marks, without protecting them."""
     present = [m for m in SEPARATORS if re.search(SEPARATORS[m], field)]
-    out = [NONE] + [(frozenset([m]), q) for m in present for q in ((True, False) if any(c in field for c in QUOTES) else (True,))]
+    ways = (True, False) if any(c in field for c in QUOTES) else (True,)
+    out = [NONE] + [(frozenset([m]), q) for m in present for q in ways]
     for left_out in range(len(present) - 1):
-        out += [(frozenset(present) - set(few), True) for few in itertools.combinations(present, left_out)]
+        out += [(frozenset(present) - set(few), q) for few in itertools.combinations(present, left_out) for q in ways]
     return out
 
 
