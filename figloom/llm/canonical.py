@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A reference list longer than this is refused: it is held by every worker.
-MAX_REFERENCE = 50_000
+from figloom.llm.decision_aliases import alias_table
+
+#: Reference entries or aliases held by every worker, by default.
+MAX_REFERENCE = 100_000
 #: Share of words in common from which a value without a mention is taken for an entry.
 LEAST_SIMILARITY = 0.75
 UNMATCHED = -1
@@ -31,57 +33,8 @@ MOST_SLIPS = int((1 - LEAST_SIMILARITY) / SLIP_COST + 1e-9)
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсхуіјѕԁкмтвнαοερτυνι", "aeopcxyijsdkmtbhaoeptuvi")
 
-#: Ways of saying that a paper is accepted, and the forms in which it then appears.
-ACCEPT_WORDS = ["accept", "accepted", "acceptance", "accepting", "acc", "accepte", "angenommen", "paper accepted", "yes accepted", "final accepted", "decided accept", "p accept"]
-ACCEPT_LINKS = ["", "as", "as a", "as an", "for", "for a", "for an", "to", "to the", "in", "in the", "with", "w", "on", "after", "is", "mit", "subject to", "only"]
-ACCEPTED_AS = {
-    "Accept (Oral)": ["oral", "orals", "oral talk", "long talk", "long talk oral", "full talk", "oral presentation", "vortrag", "presentation orale"],
-    "Accept (Poster)": ["poster", "posters", "poster only", "poster session", "poster board", "affiche"],
-    "Accept (Spotlight)": ["spotlight", "spotlights", "spotl", "spotlight slot"],
-    "Accept (Lightning Talk)": ["lightning", "lightning talk", "lightning round", "lightn talk", "lightning slot", "two minute talk"],
-    "Accept with Minor Revision": ["minor", "minor revision", "minor revisions", "minor rev", "minor edits", "minor changes", "small changes", "small changes needed", "kleinen anderungen"],
-    "Accept with Major Revision": ["major", "major revision", "major revisions", "major rev", "major edits", "major changes", "large changes", "large changes needed", "grossen anderungen"],
-    "Conditional Accept": ["conditional", "conditionally", "cond", "condition", "conditions", "bedingt"],
-    "Accept (Datasets Track)": ["datasets track", "dataset track", "datasets", "dataset", "data sets", "data sets track", "d track", "d track dataset"],
-    "Accept (Findings Only)": ["findings", "findings only"],
-}
-#: Other ways of saying the entries.
-ALIASES = {
-    "Accept (Poster)": ["in as poster", "poster"],
-    "Accept (Oral)": ["oral"],
-    "Accept (Spotlight)": ["spotlight", "selected for spotlight"],
-    "Accept (Lightning Talk)": ["blitzvortrag", "blitzvortrag angenommen", "lightning talk"],
-    "Accept (Findings Only)": ["goes to findings", "goes to findings no presentation"],
-    "Reject": ["rej", "rejected", "rejection", "not accepted", "not accept", "no reject", "declined", "decline", "turned down", "abgelehnt", "refuse"],
-    "Reject, Resubmission Encouraged": [
-        "reject resubmit", "reject and resubmit", "r r reject resubmit", "rejected but please submit again", "declined resubmission welcome", "rej resub encouraged",
-        "rejected resubmission encouraged", "rejected please resubmit",
-    ],
-    "Desk Reject": [
-        "desk rejected", "desk rejection", "desk rej", "desk", "dr desk", "dr", "rejected at desk", "rejected without review", "rejected at the desk", "ohne begutachtung abgelehnt",
-        "reject without review",
-    ],
-    "Withdrawn": ["withdrawal", "withdrew", "withdraw", "w d", "authors withdrew", "pulled by authors", "pulled authors", "retire par les auteurs", "zuruckgezogen", "withdrawn by authors"],
-    "Withdrawn after Decision": ["w d after decision", "withdrew after the decision", "authors withdrew after the decision", "post decision withdrawal", "late w d decision was out", "late w d", "withdrawal after decision"],
-    "pending/unknown": ["pending", "unknown", "undecided", "not decided", "not decided yet", "awaiting decision", "decision pending", "noch offen"],
-    "Invited to Workshop": ["workshop invitation", "workshop invite", "inv to wkshp", "moved to workshop", "moved to workshop invited", "einladung zum workshop", "workshop"],
-    "Transferred to Journal": ["journal transfer", "transf to journal", "sent on to journal", "handed to the journal", "handed over to the journal", "transfer to journal", "to journal", "journal"],
-    "Duplicate Submission": ["submitted twice", "double submission", "dup submission", "duplicate of another submission", "duplicate"],
-    "Ethics Hold": ["held for ethics check", "on hold ethics", "halted by ethics board", "hold ethics", "ethics check", "ethics"],
-    "Retracted": ["retraction", "retracted by venue", "venue has retracted it", "removed after publication"],
-    "Under Appeal": ["appealed", "appeal running", "authors appealed", "appeal"],
-    "Incomplete Submission": ["submission incomplete", "files missing", "files missing incomplete", "incompl subm", "not complete submission", "incomplete", "not complete"],
-}
-
-
-def accept_aliases() -> Iterator[tuple[str, str]]:
-    """Every way of saying "accepted" with every form, in both orders."""
-    for name, forms in ACCEPTED_AS.items():
-        for form in forms:
-            for word in ACCEPT_WORDS:
-                for link in ACCEPT_LINKS:
-                    yield f"{word} {link} {form}".replace("  ", " "), name
-                    yield f"{form} {word} {link}".strip(), name
+#: Words that deny the mention right after them.
+NEGATIONS = frozenset({"not", "never", "nicht", "cannot", "isnt", "wasnt"})
 
 
 def plain(value: str) -> str:
@@ -95,26 +48,35 @@ def plain(value: str) -> str:
 
 
 def slips(a: str, b: str, most: int) -> int:
-    """Edits between two words (a swap of neighbours is one), or more than ``most``."""
-    if abs(len(a) - len(b)) > most:
+    """Edits between two words, or more than ``most``. A swap is one edit also of letters between
+    which one has been left out or put in."""
+    # An edit changes the letters that occur by two at most.
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
+    # rows[i][j]: edits between the first i letters of a and the first j of b.
+    rows = [list(range(len(b) + 1))]
+    last: dict[str, int] = {}  # where in a each letter was seen last
     for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
+        row, before, match = [i], rows[-1], 0
         for j, y in enumerate(b, 1):
             cost = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
+            k = last.get(y, 0)
+            if k and match:
+                cost = min(cost, rows[k - 1][match - 1] + (i - k) + (j - match) - 1)
+            if x == y:
+                match = j
             row.append(cost)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+        last[x] = i
+        rows.append(row)
+    return min(rows[-1][-1], most + 1)
 
 
 class Matcher:
     """Finds the entry that a value means; built once per worker."""
 
     def __init__(self, names: dict[str, int], aliases: list[tuple[str, str]]):
+        """``aliases``: (alias, name); those of unknown names are left out, and a name counts before
+        an alias that reads alike."""
         self.patterns: dict[str, int] = {}
         for alias, name in aliases:
             if name in names:
@@ -158,8 +120,12 @@ class Matcher:
         is its best; a longer mention that overlaps it there has no lower rank. So the best one is
         found by walking the trie from every word; a node is met once, as its words are given.
         """
-        best = None
+        best, denied = None, 0
         for start in range(len(near)):
+            if start and near[start - 1][0][1] in NEGATIONS:
+                denied = max(denied, start + self._longest(near, start))
+            if start < denied:
+                continue
             # (node, slips, letters, which words are mended and how)
             live = [(self.trie, 0, 0, ())]
             n = 0
@@ -248,10 +214,26 @@ class Matcher:
                         similar = max(similar, (2 * c / (len(s) + n) - SLIP_COST * slipped, c, -self.sets[s]))
         return -similar[2] if similar[0] >= LEAST_SIMILARITY else UNMATCHED
 
+    def _longest(self, near: list[list[tuple[int, str]]], start: int) -> int:
+        """Words of the longest name or alias, in any reading, that begins at a word."""
+        live, found, n = [self.trie], 0, 0
+        while live and start + n < len(near):
+            live, n = [node[w] for node in live for _, w in near[start + n] if w in node], n + 1
+            if any(None in node for node in live):
+                found = n
+        return found
+
+    def _denied(self, near: list[list[tuple[int, str]]]) -> bool:
+        """Whether a name or alias is said right after a word that denies it."""
+        return any(near[i][0][1] in NEGATIONS and self._longest(near, i + 1) for i in range(len(near) - 1))
+
     def _match(self, value: str) -> int:
         near = [self.near(w) for w in plain(value).split()]
         found = self._mention(near)
-        return self._similar(near) if found is None else found
+        if found is not None:
+            return found
+        # What is denied is not meant because it has the words.
+        return UNMATCHED if self._denied(near) else self._similar(near)
 
 
 @lru_cache(maxsize=4)
@@ -260,20 +242,22 @@ def matcher_of(names: tuple[tuple[str, int], ...], aliases: tuple[tuple[str, str
     return Matcher(dict(names), list(aliases))
 
 
-def match_values(df: DataFrame, value: Column, reference: DataFrame, name: str, ref_id: str, aliases: list[tuple[str, str]]) -> DataFrame:
+def match_values(df: DataFrame, value: Column, reference: DataFrame, name: str, ref_id: str, aliases: DataFrame | None = None, most: int = MAX_REFERENCE) -> DataFrame:
     """``df`` plus ref_id int: the id of the entry that ``value`` means, -1 if none, null for a
     null or blank value. No shuffle: every row is mapped where it is, a worker keeps what it has
     already mapped. Columns of ``df`` stay as they are; one called ref_id is replaced.
 
-    ``reference`` is collected; more than MAX_REFERENCE entries are refused. Of entries with one
-    name the smallest id counts; entries without name or id are left out; an empty list matches
-    nothing.
+    ``aliases`` (alias, ref_name): other ways of saying the names. A name or alias right after a
+    word of NEGATIONS is not meant. ``reference`` and ``aliases`` are held by every worker; more
+    than ``most`` rows of either are refused. Of entries with one name, and of names with one
+    alias, the smallest counts; rows with nulls are left out; an empty list matches nothing.
     """
-    rows = reference.filter(F.col(name).isNotNull() & F.col(ref_id).isNotNull()).groupBy(name).agg(F.min(ref_id).alias("i")).limit(MAX_REFERENCE + 1).collect()
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError(f"the reference list has more than {MAX_REFERENCE} entries")
+    rows = reference.filter(F.col(name).isNotNull() & F.col(ref_id).isNotNull()).groupBy(name).agg(F.min(ref_id).alias("i")).limit(most + 1).collect()
+    others = [] if aliases is None else aliases.filter("alias IS NOT NULL AND ref_name IS NOT NULL").groupBy("alias").agg(F.min("ref_name").alias("n")).limit(most + 1).collect()
+    if max(len(rows), len(others)) > most:
+        raise ValueError(f"more than {most} reference entries or aliases")
     names = tuple((r[0], int(r[1])) for r in sorted(rows, key=lambda r: r[0]))
-    said = tuple(aliases)
+    said = tuple(sorted((r[0], r[1]) for r in others))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = matcher_of(names, said)
@@ -284,16 +268,14 @@ def match_values(df: DataFrame, value: Column, reference: DataFrame, name: str,
     return df.withColumn("ref_id", F.arrow_udf(run, "int")(value))
 
 
-def decision_aliases() -> list[tuple[str, str]]:
-    return [(a, n) for n, forms in ALIASES.items() for a in forms] + list(accept_aliases())
-
-
 def typed_decisions(papers: DataFrame, reference: DataFrame) -> DataFrame:
     """platform_id, decision, ref_id of every paper whose decision is typed, not a ref_name."""
     valid = papers.filter("platform_id IS NOT NULL").groupBy("platform_id").agg(F.max(F.struct("loaded_at", "decision")).alias("r")).select("platform_id", "r.decision")
     # match_values refuses a long reference list before anything is broadcast.
     typed = valid.filter(F.col("decision").rlike(r"[^\s\p{Z}]")).join(F.broadcast(reference.select(F.col("ref_name").alias("decision"))), "decision", "left_anti")
-    return match_values(typed, F.col("decision"), reference, "ref_name", "ref_id", decision_aliases())
+    # What the list itself says about an entry is one more way of saying it.
+    notes = reference.select(F.col("ref_note").alias("alias"), "ref_name")
+    return match_values(typed, F.col("decision"), reference, "ref_name", "ref_id", alias_table(papers.sparkSession).unionByName(notes))
 
 
 def paper_decisions(papers: DataFrame, reference: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figloom.llm import canonical as C
+from figloom.llm import decision_aliases as A
 
 NAMES = [
     "Accept (Oral)", "Accept (Poster)", "Accept (Spotlight)", "Accept (Lightning Talk)", "Accept with Minor Revision", "Accept with Major Revision", "Conditional Accept",
@@ -23,19 +24,24 @@ TYPED = {
 }
 
 
+def matcher():
+    aliases = [(a, n) for n, forms in A.ALIASES.items() for a in forms] + list(A.accept_aliases())
+    return C.Matcher(IDS, aliases)
+
+
 def reference(spark):
     return spark.createDataFrame([(i, n, "note") for n, i in IDS.items()], "ref_id int, ref_name string, ref_note string")
 
 
 def test_typed_values():
-    m = C.Matcher(IDS, C.decision_aliases())
+    m = matcher()
     assert {v: m.match(v) for v in TYPED} == TYPED
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_one_slip_anywhere_is_mended(name):
     """Brute force over slips: swapping neighbours or doubling a letter of a canonical name."""
-    m, wrong = C.Matcher(IDS, C.decision_aliases()), []
+    m, wrong = matcher(), []
     for i in range(len(name) - 1):
         if name[i].isalpha() and name[i + 1].isalpha():
             for typed in (name[:i] + name[i + 1] + name[i] + name[i + 2 :], name[: i + 1] + name[i] + name[i + 1 :]):
@@ -45,7 +51,7 @@ def test_one_slip_anywhere_is_mended(name):
 
 
 def test_long_values_are_read_whole():
-    m = C.Matcher(IDS, C.decision_aliases())
+    m = matcher()
     filler = "as was said in room seven before lunch "
     for k in (0, 1, 2, 3, 500):
         for typed, right in (("rejected but please submit agian", 11), ("post-decision withdrawal", 14)):
@@ -62,7 +68,7 @@ def test_long_values_are_read_whole():
     ],
 )
 def test_many_unknown_words_do_not_hide_a_mention(typed):
-    assert C.Matcher(IDS, C.decision_aliases()).match(typed) == 1
+    assert matcher().match(typed) == 1
 
 
 def every_reading(m, words):
@@ -105,5 +111,45 @@ def test_rows(spark):
     assert {tuple(r) for r in C.paper_decisions(df, reference(spark)).collect()} == {("b", 10), ("e", 13), ("f", 10), ("g", -1)}
     assert [tuple(r) for r in C.unmatched_decisions(df, reference(spark)).collect()] == [("Hall A", 1)]
     assert C.paper_decisions(df.limit(0), reference(spark)).count() == 0
-    none = C.match_values(df, F.col("decision"), reference(spark).limit(0), "ref_name", "ref_id", [])
+    none = C.match_values(df, F.col("decision"), reference(spark).limit(0), "ref_name", "ref_id")
     assert {r.ref_id for r in none.collect()} == {None, -1}
+
+
+def brute_edits(a, b, most):
+    """Words within some edits of ``a``, a swap being one edit: whether ``b`` is among them, and how near."""
+    letters, seen = set(a) | set(b), {a}
+    for k in range(most + 1):
+        if b in seen:
+            return k
+        near = set()
+        for w in seen:
+            near |= {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+            near |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+        seen |= near
+    return most + 1
+
+
+def test_slips_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(150):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+        b = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 5)))
+        assert C.slips(a, b, 2) == brute_edits(a, b, 2), (a, b)
+    assert C.slips("rejte", "reject", 2) == C.slips("poesr", "poster", 2) == 2
+
+
+def test_what_is_denied_is_not_meant():
+    m = matcher()
+    typed = {"not rejected": -1, "NOT desk-rejected": -1, "never withdrawn": -1, "not accepted": 10, "No - reject": 10, "was not rejected but accepted as poster": 2, "withdrawn, not rejected": 13, "not quite": -1}
+    assert {v: m.match(v) for v in typed} == typed
+
+
+def test_aliases_and_notes_are_tables(spark):
+    cities = spark.createDataFrame([(1, "New York", "the big apple"), (2, "Rome", None), (3, None, "x"), (None, "Oslo", "y"), (9, "Rome", None)], "ref_id int, ref_name string, ref_note string")
+    said = spark.createDataFrame([("NYC", "New York"), ("eternal city", "Rome"), ("eternal city", "Zurich"), (None, "Rome"), ("vanished", "Atlantis")], "alias string, ref_name string")
+    df = spark.createDataFrame([("nyc!", 1), ("in the Eternal-City", 2), ("romme", 3), ("vanished", 4), (None, 5)], "v string, ref_id int")
+    got = {r.v: r.ref_id for r in C.match_values(df, F.col("v"), cities, "ref_name", "ref_id", said).collect()}
+    assert got == {"nyc!": 1, "in the Eternal-City": 2, "romme": 2, "vanished": -1, None: None}
+    with pytest.raises(ValueError):
+        C.match_values(df, F.col("v"), cities, "ref_name", "ref_id", said, most=1)
+    assert {tuple(r) for r in C.paper_decisions(spark.createDataFrame([("p", "note", None)], "platform_id string, decision string, loaded_at timestamp_ntz"), reference(spark)).collect()} != set()
