@@ -58,7 +58,7 @@ JOINING = ("and", "but", "so")
 
 def clean(text: str) -> str:
     """Text without markup, links, formulas and references, with words broken by lines joined."""
-    text = html.unescape(_TAG.sub(" ", text))
+    text = html.unescape(_TAG.sub(" ", text)).replace("&", " and ")
     text = _BROKEN.sub("", text.replace("\u00ad", ""))
     return _CITED.sub(" ", _MATH.sub(" ", _LINK.sub(" ", text)))
 

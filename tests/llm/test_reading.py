@@ -29,7 +29,7 @@ def sentences(text):
 
 def test_sentences_ignore_markup_and_layout():
     text = "<p>A butt-\nerfly &amp; a dog [12].\nIt ran $x^2$ home (Smith et al., 2019).</p> See https://x.example/a.b now"
-    assert sentences(text) == [["a", "butterfly", "a", "dog"], ["it", "ran", "home"], ["see", "now"]]
+    assert sentences(text) == [["a", "butterfly", "and", "a", "dog"], ["it", "ran", "home"], ["see", "now"]]
     assert sentences("a b\n\n- c d\n- e; f") == [["a", "b"], ["c", "d"], ["e"], ["f"]]
     assert sentences("") == sentences("12 ?!") == []
 
