@@ -97,6 +97,32 @@ def nearest_for_each(t):
     return found.withColumn("distance", F.round("distance", 4))
 
 
+def _indexed(t, exact: bool) -> DataFrame:
+    from figloom.operators import vector_index
+    from figloom.workspace import scratch
+
+    corpus = t("embeddings")
+    root = scratch(corpus.sparkSession, "index")
+    vector_index.build_index(corpus, "vec_id", "embedding", root)
+    return vector_index.search_index(vector_index.load_index(corpus.sparkSession, root), corpus.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, exact=exact)
+
+
+@query(ORACLE["nearest_for_each"])
+def indexed_nearest_for_each(t):
+    """The same by an index that is built, written, loaded and searched to the end."""
+    return _indexed(t, True).withColumn("distance", F.round("distance", 4))
+
+
+@query("select count(*) as queries, true as enough from embeddings where vec_id % 100 = 0")
+def index_recall(t):
+    """Whether the index, searched in a few cells only, finds nine tenths of the true results."""
+    from figloom.operators import vector_index
+
+    corpus = t("embeddings")
+    truth = search.nearest_for_each(corpus, "vec_id", "embedding", corpus.filter("vec_id % 100 = 0"), 10)
+    return vector_index.recall(_indexed(t, False), truth).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # The other searches for the same queries: every id divisible by 100.
 
 _EACH_SQL = "views as (select q.vec_id as query, e.vec_id as key, " + ", ".join(f"{_sql_distance(a, k)} as {n}" for n, (a, k) in VIEWS.items()) + " from embeddings e cross join (select vec_id, embedding from embeddings where vec_id % 100 = 0) q)"
