@@ -85,6 +85,13 @@ def unbroken(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"-\s*[\n\r]+", ""), r"\n", " "), r"(?U)\s+", " "))
 
 
+def block_text(blocks: Column) -> Column:
+    """The text of a page's blocks, structs of (kind, text): those of kind 0, unbroken, without
+    empty ones, a blank line apart; empty for null."""
+    texts = F.transform(F.filter(blocks, lambda b: b["kind"] == 0), lambda b: unbroken(b["text"]))
+    return or_empty(F.array_join(F.filter(texts, lambda x: x != ""), "\n\n"))
+
+
 def paragraphs(c: Column) -> Column:
     return F.split(c, "\n\n")
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the workers at once; a larger query set takes several passes.
-BLOCK = 2048
+#: Bytes of queries and of their k nearest that are sent to a worker and held there at once; a
+#: larger query set takes several passes over the rows.
+BLOCK_BYTES = 32 << 20
 #: Queries of a block whose candidates are ranked at once, and exact distances computed at once.
 GROUP, PAIRS = 128, 65_536
 
@@ -166,12 +167,16 @@ def _vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("vector")).filter(F.col(name).isNotNull() & F.col("vector").isNotNull())
 
 
-def _blocks(queries: DataFrame, key: str, vector: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of so many query rows at a time."""
+def _blocks(queries: DataFrame, key: str, vector: str, k: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of query rows, as many at a time as BLOCK_BYTES hold with their k nearest, and
+    no more than ``most``."""
     from figloom.operators.sync import dense_ordinals
 
     asked = dense_ordinals(_vectors(queries, key, vector, "query"), [F.col("query")], "n")
-    for start in range(0, asked.count(), size):
+    found = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    size = max(1, BLOCK_BYTES // (8 * ((found["width"] or 0) + 3 * k + 1)))
+    size = size if most is None else max(1, min(size, most))
+    for start in range(0, found["n"], size):
         block = asked.filter((F.col("n") >= start) & (F.col("n") < start + size)).collect()
         yield np.array([r["query"] for r in block]), np.array([r["vector"] for r in block])
 
@@ -195,11 +200,11 @@ def nearest_for_each(corpus: DataFrame, key: str, vector: str, queries: DataFram
     """(query, key, distance, place): the k nearest rows of the corpus for every query row, by the
     whole vector or a part of it.
 
-    Queries go to the workers in blocks of BLOCK; a partition keeps k rows a query by matrix
+    Queries go to the workers in blocks; a partition keeps k rows a query by matrix
     products, so k rows a query and partition are shuffled. Rows without a vector are left out.
     """
     rows = _vectors(corpus, key, vector, "key")
-    blocks = [rows.mapInArrow(_block_top(ids, matrix, k, view), "query long, key long, distance double") for ids, matrix in _blocks(queries, key, vector, BLOCK)]
+    blocks = [rows.mapInArrow(_block_top(ids, matrix, k, view), "query long, key long, distance double") for ids, matrix in _blocks(queries, key, vector, k)]
     if not blocks:
         return corpus.sparkSession.createDataFrame([], "query long, key long, distance double, place int")
     return _first(_union(blocks), "distance", k)
@@ -223,7 +228,7 @@ def hierarchical_for_each(corpus: DataFrame, key: str, vector: str, queries: Dat
     from figloom.workspace import materialize
 
     rows, later, out = _vectors(corpus, key, vector, "key"), {"d2": views[1], "d3": views[2]}, []
-    for ids, matrix in _blocks(queries, key, vector, max(1, min(BLOCK, MAX_STAGE // max(1, t1)))):
+    for ids, matrix in _blocks(queries, key, vector, t1, MAX_STAGE // max(1, t1)):
         top = rows.mapInArrow(_block_top(ids, matrix, t1, views[0], later), "query long, key long, distance double, d2 double, d3 double")
         s1 = materialize(_first(top, "distance", t1), "stage-one")
         members: dict[int, list] = {}

@@ -764,15 +764,19 @@ _VOTES_SQL = " + ".join(_VOTE.format(c=c) for c in ("clip_type", "label_haiku",
 
 
 @query(
-    f"""with v as (select {_VOTES_SQL} as votes, coalesce(lower(trim(label_gpt_tiebreak)), '') as tie from diagram_data)
-    select votes, case when votes = 3 then 'unanimous' when votes = 2 then 'majority' when votes = 1 and tie = 'diagram' then 'minority_tiebreak' else 'unconfirmed' end as path, count(*) as records from v group by 1, 2"""
+    f"""with v as (select {_VOTE.format(c="clip_type")} as first, {_VOTES_SQL} as votes, coalesce(lower(trim(label_gpt_tiebreak)), '') as tie from diagram_data)
+    select votes, case when votes = 3 then 'unanimous' when first = 0 and votes = 2 and tie = 'diagram' then 'consensus_confirmed' when first = 0 then 'unconfirmed' when votes = 2 then 'majority'
+        when votes = 1 and tie = 'diagram' then 'minority_tiebreak' else 'unconfirmed' end as path, count(*) as records from v group by 1, 2"""
 )
 def label_cascade(t):
-    """Three judges vote; one vote alone needs the tie-breaking judge. The routing is ours."""
+    """Three judges vote. What the first takes for a diagram passes by votes, a single one with the
+    tie-breaking judge; what it does not needs both others and the tie-breaker. The routing is ours."""
     said = lambda c: (X.or_empty(F.lower(F.trim(c))) == "diagram").cast("int")
     votes = said("clip_type") + said("label_haiku") + said("label_gpt_mini")
-    path = F.when(F.col("votes") == 3, "unanimous").when(F.col("votes") == 2, "majority").when((F.col("votes") == 1) & (F.col("tie") == 1), "minority_tiebreak").otherwise("unconfirmed")
-    v = t("diagram_data").select(votes.alias("votes"), said("label_gpt_tiebreak").alias("tie"))
+    v = t("diagram_data").select(said("clip_type").alias("first"), votes.alias("votes"), said("label_gpt_tiebreak").alias("tie"))
+    confirmed = F.when((F.col("votes") == 2) & (F.col("tie") == 1), "consensus_confirmed").otherwise("unconfirmed")
+    passed = F.when(F.col("votes") == 2, "majority").when((F.col("votes") == 1) & (F.col("tie") == 1), "minority_tiebreak").otherwise("unconfirmed")
+    path = F.when(F.col("votes") == 3, "unanimous").when(F.col("first") == 0, confirmed).otherwise(passed)
     return v.groupBy("votes", path.alias("path")).agg(F.count("*").alias("records"))
 
 

@@ -161,3 +161,5 @@ def test_formats_and_union(spark):
     assert (r.n, r.p, r.u) == ("57,100", "ab     7 toolong", "https://h/pdf?id=x")
     a, b = spark.createDataFrame([(1, "x")], "id int, v string"), spark.createDataFrame([(2, 5)], "id int, w int")
     assert sorted(tuple(r) for r in sync.union_tables(a, b, a).collect()) == sorted([(1, "x", None), (2, None, 5), (1, "x", None)])
+    blocks = spark.createDataFrame([(1, [(0, "An exam-\nple  text"), (1, "picture"), (0, " \n"), (0, "next"), (0, None)]), (2, None)], "id int, b array<struct<kind: int, text: string>>")
+    assert {r.id: r.t for r in blocks.select("id", X.block_text(F.col("b")).alias("t")).collect()} == {1: "An example text\n\nnext", 2: ""}

@@ -50,7 +50,7 @@ def vectors(spark, n=300, d=8):
 
 
 def test_query_sets_in_blocks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 40_000)
     data, df = vectors(spark)
     data = data.astype(np.float32).astype(float)
     got = {}
@@ -97,7 +97,7 @@ def brute_stages(data, q, views, t1, t2, k, fetch2, fetch3):
 
 @pytest.mark.parametrize("sizes", [(20, 8, 3, 100, 100), (20, 8, 3, 3, 4), (20, 8, 5, 1, 1), (400, 400, 400, 1, 1)])
 def test_stages_for_a_query_set_against_brute_force(spark, monkeypatch, sizes):
-    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 40_000)
     rng = np.random.default_rng(7)
     data = rng.integers(0, 3, size=(300, 6)).astype(float)  # many equally far
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, v array<float>").repartition(3)
