@@ -132,7 +132,7 @@ def document_mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str
 def repeats_kept(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """For each wanted source whether no document is used too often, and documents that are in the
     mix more than once."""
-    mixed = document_mix(documents, targets, tokenizer)
+    mixed = materialize(document_mix(documents, targets, tokenizer), "mixed")
     once = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"))
     twice = once.groupBy("source").agg(F.count_if(F.col("n") > 1).alias("twice"))
     report = mix_report(mixed, targets).join(twice, "source", "left")

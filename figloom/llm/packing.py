@@ -192,7 +192,9 @@ def container_fill(documents: DataFrame, requests: DataFrame, tokenizer: str = T
 def containers_kept(documents: DataFrame, requests: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """What must hold for each request: documents placed, containers above capacity, and documents
     that are missing, twice there or cut where they need not be."""
-    placed = document_containers(documents, requests, tokenizer).join(requests.withColumnRenamed("request_id", "_request"), F.col("request_id").eqNullSafe(F.col("_request")))
+    # Written, as it is grouped in two ways.
+    placed = materialize(document_containers(documents, requests, tokenizer), "placed")
+    placed = placed.join(requests.withColumnRenamed("request_id", "_request"), F.col("request_id").eqNullSafe(F.col("_request")))
     room = F.col("capacity_tokens")
     boxes = placed.groupBy("request_id", "container_id", room).agg(F.sum("tokens").alias("t")).groupBy("request_id").agg(F.count_if(F.col("t") > room).alias("overfull"))
     # The pieces of a document follow one another, all but the last full.
