@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Ways of saying that a paper is accepted, and the forms in which it then appears.
@@ -64,5 +65,5 @@ def accept_aliases() -> Iterator[tuple[str, str]]:
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """(alias, ref_name) of all of them."""
-    rows = {(a, n) for n, forms in ALIASES.items() for a in forms} | set(accept_aliases())
-    return spark.createDataFrame(sorted(rows), "alias string, ref_name string")
+    rows = sorted({(a, n) for n, forms in ALIASES.items() for a in forms} | set(accept_aliases()))
+    return spark.createDataFrame(pa.table({"alias": [a for a, _ in rows], "ref_name": [n for _, n in rows]}))
