@@ -30,3 +30,11 @@ def test_retrieve_and_validate(spark):
     assert [(r.id, r.distance) for r in got.orderBy("distance").collect()] == [(5, 0.0), (4, 1.0)]
     report = {r.check_: r.ok for r in api.validate(corpus, 30, {"title": 30, "caption": 29}).collect()}
     assert report == {"rows": True, "ids": True, "vectors of title": True, "vectors of caption": False}
+
+
+def test_contexts_of_several_documents(spark):
+    text = "As Fig. 1 shows, all is well."
+    docs = spark.createDataFrame([("p", i, f"{text} {i}") for i in range(3)], "pid string, doc long, text string")
+    figures = spark.createDataFrame([("p", "1"), (None, "1")], "pid string, figure_number string")
+    got = {(r.doc, r.context) for r in api.contexts(docs, figures, "pid", F.col("text"), document="doc").collect()}
+    assert got == {(i, f"<paragraph_1>{text} {i}</paragraph_1>") for i in range(3)}

@@ -154,3 +154,14 @@ def test_text_functions(spark):
     r = one(spark, None, X.or_empty(F.col("c")).alias("e"), X.is_missing(F.col("c")).alias("m"), X.is_accepted(F.col("c")).alias("a"), X.tagged(F.array(F.lit("x"), F.lit("y"))).alias("t"), X.data_url(F.lit(b"ab")).alias("d"), X.is_accepted(F.lit("temporal")).alias("o"))
     assert (r.e, r.m, r.a, r.o) == ("", True, False, True)
     assert r.t == "<paragraph_1>x</paragraph_1>\n<paragraph_2>y</paragraph_2>" and r.d == "data:image/png;base64,YWI="
+
+
+def test_sync_is_update_after_insert(spark):
+    from figloom.operators import sync
+
+    target = spark.createDataFrame([("a", "X", 1), ("b", None, 2), ("c", "y", 3), (None, "z", 4), ("a", "q", 5)], "k string, v string, only int")
+    staging = spark.createDataFrame([("a", "new"), ("b", "w"), ("c", "Y"), ("d", "pending"), (None, "n"), ("e", None)], "k string, v string")
+    one = sync.sync(target, staging, ["k"], "v", "pending")
+    two = sync.update_changed(sync.insert_missing(target, staging, ["k"]), staging, ["k"], "v", "pending")
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sync.sync(target.limit(0), staging, ["k"], "v", "pending").count() == 6
